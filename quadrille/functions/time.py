@@ -21,6 +21,11 @@ def parse_rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), (whole + F.when(leap, 1).otherwise(0)) * 1000 + ms)
 
 
+def epoch_ms(t: Column) -> Column:
+    """Epoch milliseconds of a timestamp; one without a zone counts as the session's (UTC by convention)."""
+    return F.unix_millis(t.cast("timestamp"))
+
+
 def format_rfc3339(ms: Column) -> Column:
     """UTC text; milliseconds only where they aren't 0."""
     whole = F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import ComputeError, InvalidGraph
 from ..functions.grid import Interval
 from ..functions.nodata import bands, finite, no_nan
+from ..functions.time import epoch_ms
 
 
 def reducer(kind: str, p: float | None = None):
@@ -25,7 +26,7 @@ def reducer(kind: str, p: float | None = None):
 
 
 def during(stack: DataFrame, time: Interval | None) -> DataFrame:
-    return stack if time is None else stack.where(time.holds(F.unix_millis("datetime")))
+    return stack if time is None else stack.where(time.holds(epoch_ms(F.col("datetime"))))
 
 
 def composite(stack: DataFrame, kind: str, p: float | None = None, time: Interval | None = None) -> DataFrame:

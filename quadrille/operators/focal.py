@@ -82,7 +82,7 @@ def hillshade(cells: DataFrame, size: float = 1.0, azimuth: float = 315.0, altit
     e, n = F.col("east"), F.col("north")
     # The surface normal is (-east, -north, 1) over its length; the light comes from the azimuth at the altitude.
     shade = (math.cos(zenith) - (e * math.sin(az) + n * math.cos(az)) * math.sin(zenith)) / F.sqrt(e * e + n * n + 1)
-    return gradients(cells, size, block).select("gx", "gy", (F.greatest(shade, F.lit(0.0)) * 255).alias("b0"))
+    return gradients(cells, size, block).select("gx", "gy", F.when(shade.isNotNull(), F.greatest(shade, F.lit(0.0)) * 255).alias("b0"))
 
 
 def convolve(cells: DataFrame, kernel: list[float], block: int = BLOCK) -> DataFrame:

@@ -115,7 +115,7 @@ def map_properties(features: DataFrame, rename: dict[str, str] | None = None, dr
     last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda k: k == e["k"]))
     out = F.map_from_entries(last)
     for k, v in (add or {}).items():
-        out = F.when(F.map_contains_key(out, k), out).otherwise(F.map_concat(F.map_filter(out, lambda n, _, k=k: n != k), F.create_map(F.lit(k), F.lit(json.dumps(v)))))
+        out = F.when(F.map_contains_key(out, k), out).otherwise(F.map_concat(out, F.create_map(F.lit(k), F.lit(json.dumps(v)))))
     return features.withColumn("properties", out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from ..functions.nodata import no_nan
+from ..functions.time import epoch_ms
 
 #: Zones are a request: beyond this many, zone tiles are joined by shuffle and not broadcast.
 MOST_BROADCAST = 10_000
@@ -75,7 +76,7 @@ def with_empty_zones(found: DataFrame, zones: DataFrame) -> DataFrame:
 
 def at_steps(stack: DataFrame, steps: DataFrame) -> DataFrame:
     """Items of a stack once for each step (ord, start_ms, end_ms) that holds them. Steps are a request of at most 64 rows."""
-    ms = F.unix_millis("datetime")
+    ms = epoch_ms(F.col("datetime"))
     bounded = steps.select(F.col("ord").alias("step"), "start_ms", "end_ms")
     return stack.join(F.broadcast(bounded), (ms >= F.col("start_ms")) & (ms < F.col("end_ms"))).drop("start_ms", "end_ms")
 
