@@ -17,6 +17,8 @@ WINDOW = 50
 ANCHOR = 20
 #: Passages of a shard, about, and of an anchor before its windows are dealt by their own hash.
 SHARD, HOT = 4000, 500
+#: Of the windows over a hot anchor, one in so many is compared first.
+COARSE = 8
 
 
 class WaveletTree:
@@ -229,7 +231,7 @@ def passages(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def hot_windows(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, u, place and 128-bit hash (w1, w2) of every window over a hot anchor: such windows are grouped by themselves."""
+    """doc_id, u, places and 128-bit hashes (w1, w2) of every window over a hot anchor: such windows are grouped by themselves."""
 
     def run(batches):
         for batch in batches:
@@ -239,15 +241,36 @@ def hot_windows(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
             for at, to, t in texts(part["text"]):
                 h = t.hashes()
                 w1, w2 = rolling(h, window, 21), rolling(mix64(h + np.uint64(5)), window, 22)
+                found: list[list] = [[], [], []]
                 for i in range(to - at):
                     n = int(t.count[i]) - window
-                    places = sorted({x for s in spots[at + i] if s["hot"] for x in range(max(0, s["place"] + anchor - window), min(n, s["place"]) + 1)})
-                    if places:
-                        p = np.array(places, np.int64)
-                        g = t.first[i] + p
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), doc[at + i])), pa.array(np.full(len(p), u[at + i])), pa.array(p), pa.array(w1[g].view(np.int64)), pa.array(w2[g].view(np.int64))], ["doc_id", "u", "place", "w1", "w2"])
+                    places = np.array(sorted({x for s in spots[at + i] if s["hot"] for x in range(max(0, s["place"] + anchor - window), min(n, s["place"]) + 1)}), np.int64)
+                    for out, v in zip(found, (places, w1[t.first[i] + places].view(np.int64), w2[t.first[i] + places].view(np.int64)), strict=True):
+                        out.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at:to]), pa.array(u[at:to]), *[pa.array(x, pa.list_(pa.int64())) for x in found]], ["doc_id", "u", "places", "w1", "w2"])
 
-    return candidates.mapInArrow(run, "doc_id long, u long, place long, w1 long, w2 long")
+    return candidates.mapInArrow(run, "doc_id long, u long, places array<long>, w1 array<long>, w2 array<long>")
+
+
+def still_open(hot: DataFrame, window: int) -> DataFrame:
+    """doc_id, u, place, w1, w2 of the windows of hot that aren't COARSE and don't lie between two found windows (array `got`) that
+    together cover them."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, u, places, w1, w2, got in zip(*(batch.column(c) for c in ("doc_id", "u", "places", "w1", "w2", "got")), strict=True):
+                p, a, b = (np.asarray(x.values) for x in (places, w1, w2))
+                left = a % COARSE != 0
+                if got.is_valid and len(got) > 1:
+                    g = np.sort(np.asarray(got.values))
+                    k = np.clip(np.searchsorted(g, p), 1, len(g) - 1)
+                    left &= ~((g[k - 1] <= p) & (p <= g[k]) & (g[k] - g[k - 1] <= window))
+                for x, v in zip(out, (np.full(left.sum(), doc.as_py()), np.full(left.sum(), u.as_py()), p[left], a[left], b[left]), strict=True):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["doc_id", "u", "place", "w1", "w2"])
+
+    return hot.select("doc_id", "u", "places", "w1", "w2", "got").mapInArrow(run, "doc_id long, u long, place long, w1 long, w2 long")
 
 
 def cut_texts(candidates: DataFrame) -> DataFrame:
@@ -298,9 +321,16 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, h
     shards = max(1, -(-cold // shard))
     parts = passages(candidates, window, anchor).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = parts.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "doc_id long, u long, a long, b long")
-    windows = save(hot_windows(candidates, window, anchor), "hot-windows")
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
-    again = windows.join(owners, ["w1", "w2"]).where("least < doc_id").select("doc_id", "u", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
+    held = save(hot_windows(candidates, window, anchor), "hot-windows")
+    each = lambda x: held.select("doc_id", "u", F.explode(x).alias("x")).select("doc_id", "u", F.col("x.places").alias("place"), "x.w1", "x.w2")
+    zipped = F.arrays_zip("places", "w1", "w2")
+    owners = each(zipped).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    owners = save(owners.select("w1", "w2", "least"), "hot-owners")
+    own = lambda x: x.join(owners, ["w1", "w2"]).where("least < doc_id").select("doc_id", "u", "place")
+    # One in COARSE windows, by content, comes first: what lies between two that are found is covered by them and needs no row of its own.
+    coarse = save(own(each(F.filter(zipped, lambda x: x["w1"] % COARSE == 0))), "hot-coarse")
+    fine = own(still_open(held.join(coarse.groupBy("doc_id", "u").agg(F.collect_set("place").alias("got")), ["doc_id", "u"], "left"), window))
+    again = coarse.union(fine).select("doc_id", "u", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
     spans = found.union(again).groupBy("doc_id", "u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cut = save(cut_texts(candidates.join(spans, ["doc_id", "u"]).select("doc_id", "u", "text", "spans")).dropDuplicates(["doc_id", "u"]), "cut")
     marked = facts.select("doc_id", "u", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "u"], "left")
