@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64, rolling, segments, signed, texts
-from .workspace import checkpoint, save
+from .workspace import save
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
-ROUNDS = 3
+ROUNDS = 2
 NUMERATOR, DENOMINATOR = 80, 100
 
 
@@ -119,21 +119,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denom
     return both.select("id", "hub", "mine", "other").mapInArrow(run, "id long, hub long")
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id, comp of every id in links (id, hub): comp is the smallest id reachable. Labels fall to the neighbours' least and then to
     the label's own label, which halves paths, until nothing changes."""
     both = save(links.select("id", "hub").union(links.select(F.col("hub").alias("id"), F.col("id").alias("hub"))).distinct(), "links")
-    label = save(both.groupBy("id").agg(F.least(F.min("hub"), F.col("id")).alias("comp")), "labels")
-    for _ in range(most_rounds):
+    start = both.groupBy("id").agg(F.least(F.min("hub"), F.col("id")).alias("comp"))
+
+    def fall(label: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("id").alias("hub"), "comp"), "hub").groupBy("id").agg(F.min("comp").alias("near"))
         step = label.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         jump = step.join(step.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
-        new = save(jump.select("id", F.coalesce("far", "next").alias("comp"), "was"), "labels")
-        changed = new.where("comp <> was").limit(1).count()
+        return jump.select("id", F.coalesce("far", "next").alias("comp"), "was")
+
+    label = save(fall(start), "labels").select("id", "comp")
+    for _ in range(most_rounds):
+        new = save(fall(label), "labels")
         label = new.select("id", "comp")
-        if not changed:
-            break
-    return label
+        if new.where("comp <> was").isEmpty():
+            return label
+    raise RuntimeError("components did not settle")
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -155,14 +159,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     buckets = save(banded.join(met, "band").select("band", "id"), "buckets")
     ids = buckets.select("id").distinct()
     sets = save(packed_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle), "sets")
-    spark = docs.sparkSession
-    repeated = spark.createDataFrame([], "id long, hub long")
-    found, tested = [repeated], [repeated]
-    label = ids.select("id", F.col("id").alias("comp"))
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
+    none = docs.sparkSession.createDataFrame([], "id long, hub long")
+    found, tested, label = none, none, none.select("id", F.col("hub").alias("comp"))
     for r in range(rounds + 1):
-        placed = buckets.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct((F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("turn"), F.col("id"), F.col("comp"))).alias("h")).where("low < high")
+        placed = buckets.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if r else buckets.withColumn("comp", F.col("id"))
+        turn = (F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("turn")
+        open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(turn, F.col("id"), F.col("comp"))).alias("h")).where("low < high")
         if r < rounds:
             hubs = open_.select("band", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
             pairs = placed.join(hubs, "band").where("comp <> hub_comp")
@@ -170,13 +172,15 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
             rest = placed.join(open_.select("band"), "band")
             pairs = rest.join(rest.select("band", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "band").where("id < hub and comp <> hub_comp")
         pairs = pairs.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
-        pairs = save(pairs.join(union(tested), ["id", "hub"], "left_anti"), f"pairs{r}")
-        if not pairs.limit(1).count():
-            break
+        pairs = save(pairs.join(tested, ["id", "hub"], "left_anti") if r else pairs, f"pairs{r}")
+        if r and pairs.isEmpty():
+            continue
         good = save(confirm(pairs, sets), f"good{r}")
-        tested.append(pairs)
-        found.append(good)
-        label = components(union(found))
+        tested = tested.union(pairs)
+        if r and good.isEmpty():
+            continue
+        found = found.union(good)
+        label = components(found)
     label = label.select("id", "comp")
     placed = member.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("component_id"))
     empty = signed_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
