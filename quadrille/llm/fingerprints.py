@@ -24,7 +24,7 @@ def votes(term: str) -> list[Column]:
 
     Column k holds bits k and k+32 in the halves of a long, so 32 sums carry the votes on 64 bits.
     """
-    h, w = F.xxhash64(term), F.least(F.char_length(term), F.lit(12)).cast("long")
+    h, w = F.xxhash64(term), F.least(F.coalesce(F.char_length(term), F.lit(0)), F.lit(12)).cast("long")
     return [F.sum(w * F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(f"v{k}") for k in range(32)] + [F.sum(w).alias("total")]
 
 
