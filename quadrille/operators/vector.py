@@ -192,7 +192,7 @@ def base_resolution(features: DataFrame) -> float:
                 g = _geometry(text)
                 x0, y0, x1, y1 = G.envelope(g)
                 d = list(G.segment_lengths(g))
-                yield pa.RecordBatch.from_arrays([pa.array([d]), *[pa.array([v]) for v in (x0, y0, x1, y1)]], ["d", "x0", "y0", "x1", "y1"])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.list_(pa.float64())), *[pa.array([v]) for v in (x0, y0, x1, y1)]], ["d", "x0", "y0", "x1", "y1"])
 
     facts = features.select("geometry").mapInArrow(run, "d array<double>, x0 double, y0 double, x1 double, y1 double")
     lengths = facts.select(F.explode("d").alias("d"))
