@@ -88,12 +88,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
-    both = placed.select("bucket", "pos", "halo", "doc_id", n.cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("s")), F.struct(F.lit(1).alias("which"), edited.alias("s")))).alias("x"))
+    # The digest is made here, once a text, and not after the terms are rows; as a grouping key, since hash aggregation sums no strings.
+    sha = F.sha2(F.encode(edited, "UTF-8"), 256)
+    two = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("s"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("which"), edited.alias("s"), sha.alias("sha")))
+    both = placed.select("bucket", "pos", "halo", "doc_id", n.cast("long").alias("n_chars"), F.explode(two).alias("x"))
     both = both.where(~F.col("halo") | (F.col("x.which") == 0))
-    # The digest is a grouping key, as hash aggregation keeps no strings among its sums.
     keys = ["bucket", "pos", "halo", "doc_id", "n_chars", "which", "sha"]
-    sha = F.when(F.col("x.which") == 1, F.sha2(F.encode(F.col("x.s"), "UTF-8"), 256))
-    voted = both.select(*keys[:5], F.col("x.which").alias("which"), sha.alias("sha"), F.explode_outer(terms(F.col("x.s"))).alias("term"))
+    voted = both.select(*keys[:5], "x.which", "x.sha", F.explode_outer(terms(F.col("x.s"))).alias("term"))
     voted = voted.groupBy(*keys).agg(*votes("term")).na.fill(0, [*(f"v{k}" for k in range(32)), "total"])
     prints = voted.select(*keys, signs().alias("fp"))
     each = Window.partitionBy("bucket").orderBy("pos", "which")
