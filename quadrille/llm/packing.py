@@ -19,6 +19,8 @@ END = 1
 #: About so many pieces are packed by one task.
 BLOCK = 10_000
 GROUP = 64
+#: Words encoded by one call.
+LOT = 256
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,7 +32,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Token ids of texts. Ids of whitespace-free stretches are kept by stretch, as no token of this vocabulary spans ASCII white space."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,6 +40,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -45,6 +50,23 @@ class Encoder:
         self.start, self.long = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _ids(self, words: list[str]) -> list:
+        """The ids of each word. Words of letters alone are encoded many at once and told apart by the vocabulary's word ends; a
+        lot whose ends don't match its words is encoded word by word, like all other stretches."""
+        out: list = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        lots = [letters[i : i + LOT] for i in range(0, len(letters), LOT)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in lot) for lot in lots], add_special_tokens=False), strict=True):
+            flat = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == len(lot) and ends[-1] == len(flat):
+                for i, part in zip(lot, np.split(flat, ends[:-1]), strict=True):
+                    out[i] = part.tolist()
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _codes(self, words: list[bytes]) -> np.ndarray:
         """The number of each word in the memory, which learns the new ones."""
         known = self.known
@@ -53,7 +75,7 @@ class Encoder:
             if len(known) + len(fresh) > self.most and known:
                 self.clear()
                 return self._codes(words)
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+            ids = self._ids([w.decode("utf-8", "replace") for w in fresh])
             long = np.fromiter(map(len, ids), np.int64, len(ids))
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(long) - long]
