@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -99,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
     records = judged.select("page_id", "url", "payload", "response").mapInArrow(run, "record binary")
     # A record ends with two line ends, which the text writer adds; the cast keeps bytes as they are.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes):
@@ -129,7 +130,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for f, block in parse(content.as_py()):
+                body = content.as_py()
+                for f, block in parse(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body):
                     number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
                     rows.append((f.get("warc-record-id"), f.get("warc-type"), int(f["warc-page-id"]) if "warc-page-id" in f else None, f.get("warc-segment-origin-id"), number and int(number), total and int(total), f.get("warc-refers-to"), block))
                     held += len(block)
