@@ -16,6 +16,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 ROUNDS = 2
 NUMERATOR, DENOMINATOR = 80, 100
+#: Parts of the hash space in which shared shingles are counted.
+PARTS = 128
 
 
 def permute(x: np.ndarray, salt: int) -> np.ndarray:
@@ -119,6 +121,49 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denom
     return both.select("id", "hub", "mine", "other").mapInArrow(run, "id long, hub long")
 
 
+def feasible_pairs(rest: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """Pairs (id, hub) of one band and different components in rest (band, id, comp), but for those that cannot reach the similarity.
+
+    A shingle that only one of these sets holds is in no intersection. The shared ones of each set are counted in PARTS parts of the hash
+    space; two sets meet in no more than the sum of the lesser counts, which settles a pair where that is too little for their sizes. Near
+    copies of one text that differ from it each in its own way so make no pairs with each other. A set too poor in shared shingles for
+    any partner is left out before bands are joined.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                packed = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("packed").slice(at, 64)]
+                ids = np.repeat(batch.column("id").slice(at, 64).to_numpy(), [len(x) for x in packed])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(packed))], ["id", "shingle"])
+
+    def tally(batches):
+        for batch in batches:
+            sizes, shared = [], []
+            for packed, own in zip(batch.column("packed"), batch.column("own"), strict=True):
+                every = np.frombuffer(packed.as_buffer(), np.uint64)
+                alone = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else every[:0]
+                sizes.append(len(every))
+                shared.append(np.bincount(every % np.uint64(PARTS), minlength=PARTS) - np.bincount(alone % np.uint64(PARTS), minlength=PARTS))
+            counts = np.array(shared, np.int32).reshape(-1, PARTS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts.sum(1).astype(np.int64)), lists], ["id", "n", "most", "parts"])
+
+    held = sets.join(rest.select("id").distinct(), "id", "left_semi")
+    spread = held.select("id", "packed").mapInArrow(run, "id long, shingle long")
+    own = spread.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.collect_list("shingle").alias("own"))
+    shared = held.select("id", "packed").join(own, "id", "left").mapInArrow(tally, "id long, n long, most long, parts array<int>")
+    shared = save(shared.where(F.col("most") * denominator >= F.col("n") * numerator), "shared")
+    placed = rest.select("band", "id", "comp").join(shared, "id")
+    small = placed.where(F.col("most") * (denominator + numerator) >= F.col("n") * (2 * numerator))
+    large = placed.select("band", F.col("id").alias("hub"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("parts").alias("parts2"))
+    rises = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("hub")))
+    needed = (F.col("n") + F.col("n2")) * numerator
+    meets = F.aggregate(F.zip_with("parts", "parts2", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, x: total + x)
+    able = (F.least("most", "most2") * (denominator + numerator) >= needed) & (meets * (denominator + numerator) >= needed)
+    return small.join(large, "band").where(rises & (F.col("comp") != F.col("comp2")) & able).select("id", "hub")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id, comp of every id in links (id, hub): comp is the smallest id reachable. Labels fall to the neighbours' least and then to
     the label's own label, which halves paths, until nothing changes."""
@@ -144,8 +189,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     """doc_id, n_shingles, component_id (least doc_id reachable over links of Jaccard >= 0.8 of the shingle sets) and kept.
 
     Equal sets are one class. In each round a bucket's classes are checked against one hub, and then against what is not yet in its
-    component, so a group of copies costs its size and not its square; at the end every pair of a bucket that is still apart and not
-    yet checked is checked, so no candidate is dropped. A true link is missed by all bands with probability (1 - 0.8^rows)^bands.
+    component, so a group of copies costs its size and not its square; at the end every pair of a bucket that is still apart, not yet
+    checked and not ruled out by the shingles that only one set holds is checked, so no link among the candidates is lost. A true link is missed by all bands with probability (1 - 0.8^rows)^bands.
     Rows with a null doc_id are left out; null and empty texts have no shingles and are alone; rows that share a doc_id are linked with
     each other (each is returned). An empty table gives an empty result.
     """
@@ -169,8 +214,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
             hubs = open_.select("band", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
             pairs = placed.join(hubs, "band").where("comp <> hub_comp")
         else:
-            rest = placed.join(open_.select("band"), "band")
-            pairs = rest.join(rest.select("band", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "band").where("id < hub and comp <> hub_comp")
+            pairs = feasible_pairs(placed.join(open_.select("band"), "band"), sets)
         pairs = pairs.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
         pairs = save(pairs.join(tested, ["id", "hub"], "left_anti") if r else pairs, f"pairs{r}")
         if r and pairs.isEmpty():

@@ -305,3 +305,22 @@ def test_toxicity(spark, docs, empty):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert toxicity.score_toxicity(docs, labels.limit(0)).agg(F.max("predicted")).first()[0] == 0
+
+
+def test_feasible_pairs_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, 300)
+    sets = [np.unique(np.r_[rng.choice(base, int(300 * keep), replace=False), rng.integers(-(1 << 62), 1 << 62, new)]) for keep, new in zip(rng.uniform(0.75, 1, 60), rng.integers(0, 80, 60), strict=True)]
+    sets += [np.unique(rng.integers(-(1 << 62), 1 << 62, 5)), sets[0][:1]]
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, packed binary")
+    rest = spark.createDataFrame([(b, i, i) for b in (1, 2) for i in range(len(sets))], "band long, id long, comp long")
+    got = {frozenset(r) for r in neardup.feasible_pairs(rest, frame).collect()}
+    near = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                near.add(frozenset((i, j)))
+    assert near and near <= got
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+    assert neardup.feasible_pairs(rest.where("id < 0"), frame).isEmpty()
