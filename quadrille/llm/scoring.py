@@ -2,77 +2,134 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import mix64, texts
+from .kernels import mix64, signed, texts
 from .workspace import save
 
-#: Word classes and words of a class: the vocabulary is CLASSES * CLASSES, of which the last OTHER are buckets of all rarer words.
-CLASSES, OTHER = 32, 64
+#: The least word classes, and the share of the units that are buckets of all rarer words.
+CLASSES, OTHER = 32, 16
 REACH, WIDTH = 4, 24
-SLOTS = 1 << 20
 ROUNDS, MASK = 2, 8
 RATE, BATCH = 0.15, 4096
-#: Parameters are averaged as whole numbers of 1 / FIXED, so that sums do not hang on their order.
-FIXED = 1 << 20
-PAD = CLASSES * CLASSES
+#: Parameters are averaged as whole numbers of 1 / FIXED, so that sums do not hang on their order; BLOCK of them are a row.
+FIXED, BLOCK = 1 << 20, 8192
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """slot, n: how often words (A-Z lower-cased) of each hash slot are found in all documents."""
+def word_classes(distinct: int) -> int:
+    """Classes, and units of a class: the units grow with the square root of the distinct words."""
+    return max(CLASSES, math.ceil(2 * distinct**0.25))
 
-    def run(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, _, t in texts(batch.column("text")):
-                total += np.bincount((t.hashes(lower=True) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        used = np.flatnonzero(total)
-        for i in range(0, len(used), 100_000):
-            part = used[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
 
-    return docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+@dataclass(frozen=True)
+class Vocabulary:
+    """The units that the network predicts: the most frequent words, one each, and after them hash buckets of all other words."""
 
+    classes: int
+    #: hashes of the frequent words in order, and their units
+    hashes: np.ndarray
+    units: np.ndarray
+    #: how often the words of each bucket are found in all documents
+    totals: np.ndarray
 
-def vocabulary(counts: DataFrame) -> np.ndarray:
-    """The word number of each slot. The most frequent slots, a fixed number, are words of their own, dealt to classes by frequency."""
-    top = [r[0] for r in counts.orderBy(F.desc("n"), "slot").limit(PAD - OTHER).select("slot").collect()]
-    table = (PAD - OTHER + np.arange(SLOTS) % OTHER).astype(np.uint16)
-    table[top] = np.arange(len(top), dtype=np.uint16)
-    return table
+    def settle(self, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of each word, and the log of the word's share of it; n: how often all documents hold the word."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        own = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        bucket = hashes % len(self.totals)
+        unit = self.classes**2 - len(self.totals) + bucket
+        unit[own] = self.units[at[own]]
+        share = np.zeros(len(hashes))
+        share[~own] = np.log(n[~own] / self.totals[bucket[~own]])
+        return unit, share
 
 
-def numbered(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id and the packed word numbers of each whole text."""
+def cut(docs: DataFrame) -> DataFrame:
+    """Runs of texts: a row with doc_ids, sizes and words (places in the run's list of words), and a row for each listed word (A-Z lower-cased) with hash and n."""
 
     def run(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        empty = lambda n, kind: pa.nulls(n, kind)
+        many = pa.list_(pa.int64())
         for batch in batches:
             ids = batch.column("doc_id")
             for at, to, t in texts(batch.column("text")):
-                words = table[(t.hashes(lower=True) % np.uint64(SLOTS)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array([words[t.first[i] : t.first[i + 1]].tobytes() for i in range(t.n)], pa.binary())], ["doc_id", "words"])
+                listed, words, n = np.unique(t.hashes(lower=True).view(np.int64), return_inverse=True, return_counts=True)
+                one = lambda x: pa.array([x], many)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(ids.slice(at, to - at).to_pylist()), one(t.count), pa.array([words.astype(np.uint32).tobytes()], pa.binary()), empty(1, pa.int64()), empty(1, pa.int64())], NAMES)
+                for i in range(0, len(listed), 100_000):
+                    m = len(part := listed[i : i + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), empty(m, many), empty(m, many), empty(m, pa.binary()), signed(part), pa.array(n[i : i + m])], NAMES)
+                chunk += 1
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, doc_ids array<long>, sizes array<long>, words binary, hash long, n long")
+
+
+NAMES = ["chunk", "doc_ids", "sizes", "words", "hash", "n"]
+
+
+def count_words(runs: DataFrame) -> DataFrame:
+    """chunk, hash, n, first: each run's words with their numbers in all documents; first: in one run of those with the word."""
+    whole = Window.partitionBy("hash")
+    return runs.where("hash is not null").select("chunk", "hash", F.sum("n").over(whole).alias("n"), (F.min("chunk").over(whole) == F.col("chunk")).alias("first"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
 
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Words and buckets in numbers that grow with the distinct words, dealt to classes by frequency."""
+    words = counts.where("first")
+    classes = word_classes(words.count())
+    other = classes**2 // OTHER
+    top = [tuple(r) for r in words.orderBy(F.desc("n"), "hash").limit(classes**2 - other).select("hash", "n").collect()]
+    hashes, n = np.array(top, np.int64).reshape(-1, 2).T
+    totals = np.zeros(other, np.int64)
+    for bucket, total in words.groupBy(F.expr(f"pmod(hash, {other})")).agg(F.sum("n")).collect():
+        totals[bucket] = total
+    np.subtract.at(totals, hashes % other, n)
+    order = np.argsort(hashes)
+    return Vocabulary(classes, hashes[order], order, totals)
 
-def initial(seed: int = 5) -> dict[str, np.ndarray]:
+
+def numbered(runs: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
+    """doc_id, the packed units of each whole text, and the sum of the logs of its words' shares of them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, n = (right.column(c).to_numpy() if right.num_rows else np.zeros(0, np.int64) for c in ("hash", "n"))
+        order = np.argsort(hashes)
+        unit, share = known.settle(hashes[order], n[order])
+        ids, size = (left.column(c).combine_chunks().flatten() for c in ("doc_ids", "sizes"))
+        size = size.to_numpy()
+        words = np.frombuffer(left.column("words")[0].as_py(), np.uint32)
+        at = np.r_[0, np.cumsum(size)]
+        units = unit[words].astype(np.uint32)
+        lost = np.bincount(np.repeat(np.arange(len(size)), size), weights=share[words], minlength=len(size)).astype(np.float64)
+        return pa.table([ids, pa.array([units[at[i] : at[i + 1]].tobytes() for i in range(len(size))], pa.binary()), pa.array(lost)], ["doc_id", "words", "share"])
+
+    whole = runs.where("hash is null").select("chunk", "doc_ids", "sizes", "words").groupBy("chunk")
+    return whole.cogroup(counts.select("chunk", "hash", "n").groupBy("chunk")).applyInArrow(run, "doc_id long, words binary, share double")
+
+
+def initial(classes: int, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     return {
-        "embed": draw(PAD + 1, WIDTH), "place": np.ones((2 * REACH, WIDTH), np.float32) / 2, "bias": np.zeros(WIDTH, np.float32),
-        "group": draw(WIDTH, CLASSES) * 0.1, "group_bias": np.zeros(CLASSES, np.float32), "word": draw(CLASSES, WIDTH, CLASSES) * 0.1, "word_bias": np.zeros((CLASSES, CLASSES), np.float32),
+        "embed": draw(classes**2 + 1, WIDTH), "place": np.ones((2 * REACH, WIDTH), np.float32) / 2, "bias": np.zeros(WIDTH, np.float32),
+        "group": draw(WIDTH, classes) * 0.1, "group_bias": np.zeros(classes, np.float32), "word": draw(classes, WIDTH, classes) * 0.1, "word_bias": np.zeros((classes, classes), np.float32),
     }
 
 
-def surroundings(words: np.ndarray, doc_end: np.ndarray, doc_start: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 2 * REACH words around each position, PAD beyond its text."""
+def surroundings(words: np.ndarray, doc_end: np.ndarray, doc_start: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
+    """The 2 * REACH words around each position, pad beyond its text."""
     offsets = np.r_[-REACH:0, 1 : REACH + 1]
     where = at[:, None] + offsets
     inside = (where >= doc_start[at][:, None]) & (where < doc_end[at][:, None])
-    return np.where(inside, words[np.clip(where, 0, len(words) - 1)], PAD)
+    return np.where(inside, words[np.clip(where, 0, len(words) - 1)], pad)
 
 
 def hidden(net: dict, near: np.ndarray) -> np.ndarray:
@@ -88,33 +145,33 @@ def soft(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
 
 
-def by_class(word: np.ndarray):
-    group = word // CLASSES
+def by_class(word: np.ndarray, classes: int):
+    group = word // classes
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    cuts = np.searchsorted(group[order], np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         yield int(c), order[cuts[c] : cuts[c + 1]]
 
 
 def log_probabilities(net: dict, near: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = hidden(net, near)
-    out = soft(h @ net["group"] + net["group_bias"])[np.arange(len(word)), word // CLASSES]
-    for c, rows in by_class(word):
-        out[rows] += soft(h[rows] @ net["word"][c] + net["word_bias"][c])[np.arange(len(rows)), word[rows] % CLASSES]
+    h, classes = hidden(net, near), len(net["group_bias"])
+    out = soft(h @ net["group"] + net["group_bias"])[np.arange(len(word)), word // classes]
+    for c, rows in by_class(word, classes):
+        out[rows] += soft(h[rows] @ net["word"][c] + net["word_bias"][c])[np.arange(len(rows)), word[rows] % classes]
     return out
 
 
 def train_step(net: dict, memory: dict, near: np.ndarray, word: np.ndarray) -> None:
     """One Adagrad step on the masked words of a batch."""
-    h, n = hidden(net, near), len(word)
+    h, n, classes = hidden(net, near), len(word), len(net["group_bias"])
     grad = {k: np.zeros_like(v) for k, v in net.items()}
     p = np.exp(soft(h @ net["group"] + net["group_bias"]))
-    p[np.arange(n), word // CLASSES] -= 1
+    p[np.arange(n), word // classes] -= 1
     grad["group"], grad["group_bias"] = h.T @ p, p.sum(0)
     dh = p @ net["group"].T
-    for c, rows in by_class(word):
+    for c, rows in by_class(word, classes):
         q = np.exp(soft(h[rows] @ net["word"][c] + net["word_bias"][c]))
-        q[np.arange(len(rows)), word[rows] % CLASSES] -= 1
+        q[np.arange(len(rows)), word[rows] % classes] -= 1
         grad["word"][c], grad["word_bias"][c] = h[rows].T @ q, q.sum(0)
         dh[rows] += q @ net["word"][c].T
     dz = dh * (1 - h * h)
@@ -133,21 +190,27 @@ def train_step(net: dict, memory: dict, near: np.ndarray, word: np.ndarray) -> N
 
 
 def gathered(batches, most_words: int = 400_000):
-    """ids, all words, and where each text starts, of a few texts at a time."""
+    """rows, all words, and where each text starts, of a few texts at a time."""
     for batch in batches:
         body = batch.column("words")
-        size = np.array([len(x.as_buffer()) // 2 for x in body], np.int64)
+        size = np.array([len(x.as_buffer()) // 4 for x in body], np.int64)
         part = np.cumsum(size) // most_words
         for p in np.unique(part):
             rows = np.flatnonzero(part == p)
             joined = b"".join(body[int(i)].as_py() for i in rows)
-            yield batch.column("doc_id").take(pa.array(rows)), np.frombuffer(joined, np.uint16).astype(np.int64), np.r_[0, np.cumsum(size[rows])]
+            yield batch.take(pa.array(rows)), np.frombuffer(joined, np.uint32).astype(np.int64), np.r_[0, np.cumsum(size[rows])]
+
+
+def added(rows: pa.Table) -> pa.Table:
+    """The sums of one block of parameters."""
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("v"))
+    return pa.table([rows.column("i").slice(0, 1), pa.array([total.tobytes()], pa.binary()), pa.array([int(rows.column("w").to_numpy().sum())])], ["i", "v", "w"])
 
 
-def train(words: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> dict:
+def train(words: DataFrame, classes: int, rounds: int = ROUNDS, mask: int = MASK) -> dict:
     """Rounds of local training and averaging: each task masks every mask-th position of all its texts (by a hash; other ones in each
     round), steps through them from the shared parameters, and the tasks' parameters are averaged by their numbers of words."""
-    net = initial()
+    net = initial(classes)
     shapes = {k: v.shape for k, v in net.items()}
     for r in range(rounds):
 
@@ -161,7 +224,7 @@ def train(words: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> dict:
                 chosen = np.flatnonzero(mix64(place + np.uint64(len(flat))) % np.uint64(mask) == np.uint64(r % mask))
                 if not len(chosen):
                     continue
-                wait.append((surroundings(flat, end, start, chosen), flat[chosen]))
+                wait.append((surroundings(flat, end, start, chosen, classes**2), flat[chosen]))
                 near, word = (np.concatenate(x) for x in zip(*wait, strict=True))
                 mixed = np.argsort(mix64(np.arange(len(word), dtype=np.uint64)), kind="stable")
                 near, word = near[mixed], word[mixed]
@@ -175,13 +238,14 @@ def train(words: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> dict:
             if seen:
                 weight = -(-seen // 1024)
                 flat = np.rint(np.concatenate([own[k].ravel() for k in shapes]).astype(np.float64) * FIXED).astype(np.int64) * weight
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), weight))], ["i", "v", "w"])
+                parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), weight))], ["i", "v", "w"])
 
-        total = save(words.mapInArrow(run, "i long, v long, w long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")), f"parameters{r}")
-        rows = total.toPandas().sort_values("i")
-        if not len(rows):
+        total = save(words.select("words").mapInArrow(run, "i long, v binary, w long").groupBy("i").applyInArrow(added, "i long, v binary, w long"), f"parameters{r}")
+        rows = total.orderBy("i").collect()
+        if not rows:
             return net
-        flat, at, fresh = (rows["v"].to_numpy() / rows["w"].to_numpy() / FIXED).astype(np.float32), 0, {}
+        flat, at, fresh = np.concatenate([np.frombuffer(x["v"], np.int64) / x["w"] / FIXED for x in rows]).astype(np.float32), 0, {}
         for k, shape in shapes.items():
             fresh[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
             at += int(np.prod(shape))
@@ -191,14 +255,15 @@ def train(words: DataFrame, rounds: int = ROUNDS, mask: int = MASK) -> dict:
 
 def score(words: DataFrame, net: dict) -> DataFrame:
     """doc_id, n_words, log_prob: the sum of the log-probabilities of all words, each given those around it."""
+    pad = len(net["embed"]) - 1
 
     def run(batches):
         for batch in batches:
-            for ids, flat, at in gathered([batch]):
+            for rows, flat, at in gathered([batch]):
                 start, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
-                parts = [log_probabilities(net, surroundings(flat, end, start, p), flat[p]) for p in np.split(np.arange(len(flat)), range(32_768, len(flat), 32_768))] if len(flat) else [np.zeros(0)]
+                parts = [log_probabilities(net, surroundings(flat, end, start, p, pad), flat[p]) for p in np.split(np.arange(len(flat)), range(32_768, len(flat), 32_768))] if len(flat) else [np.zeros(0)]
                 total = np.r_[0.0, np.cumsum(np.concatenate(parts).astype(np.float64))]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]])], ["doc_id", "n_words", "log_prob"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + rows.column("share").to_numpy())], ["doc_id", "n_words", "log_prob"])
 
     return words.mapInArrow(run, "doc_id long, n_words long, log_prob double")
 
@@ -206,11 +271,15 @@ def score(words: DataFrame, net: dict) -> DataFrame:
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores every whole text by its masked pseudo-likelihood: doc_id, n_words, log_prob (sum, rounded to 4 places), mean_log_prob.
 
-    The vocabulary counts and the training cover all documents. Rarer words share buckets, and a bucket's probability counts for them.
+    The vocabulary counts and the training cover all documents. Rarer words share buckets; the probability of such a word is its bucket's
+    times the word's share of all occurrences in the bucket. Words and buckets grow with the square root of the distinct words.
     Texts without words (null or empty) have log_prob 0 and a null mean. Rows with a null doc_id are left out; repeated rows are scored
     each. An empty table gives an empty result.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = save(numbered(docs, vocabulary(save(count_words(docs), "word-counts"))), "numbered")
-    scored = score(words, train(words, rounds))
+    runs = save(cut(docs), "runs")
+    counts = save(count_words(runs), "word-counts")
+    known = vocabulary(counts)
+    words = save(numbered(runs, counts, known), "numbered")
+    scored = score(words, train(words, known.classes, rounds))
     return scored.select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round(F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")), 6).alias("mean_log_prob"))
