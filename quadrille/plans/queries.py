@@ -106,7 +106,7 @@ def composite_query(kind, p=None):
 
 
 def mosaic_first_wins(spark, d):
-    return raster.mosaic(holed(spark, d).select("gx", "gy", "b0"), grid2(spark, d).where("gx < 60 and gy < 30"))
+    return raster.mosaic(holed(spark, d).select("gx", "gy", "b0"), grid2(spark, d))
 
 
 def combine_sub(spark, d):
