@@ -242,7 +242,7 @@ QUERIES = {
     "resample_bilinear": resample_bilinear,
     "reproject_3857": reproject_3857,
     "voxel_thin": lambda s, d: points.voxel_thin(cloud(s, d).select("x", "y", "z", "point_id"), 8.0),
-    "idw_grid": lambda s, d: rounded(points.idw(cloud(s, d).where("y < 40").select("x", "y", "z", "point_id"), Grid(0.0, 40.0, 2.0, 16), 2.0, 1.5, 2)),
+    "idw_grid": lambda s, d: rounded(points.idw(cloud(s, d).select("x", "y", "z", "point_id"), Grid(0.0, 40.0, 2.0, 16), 2.0, 1.5, 2)),
     "rasterize_rects": rasterize_rects,
     "point_tile_membership": tile_index_query,
     "gray_encode": lambda s, d: raster.gray(holed(s, d), 900.0, 2000.0),
