@@ -13,12 +13,11 @@ from .kernels import mix64, rolling, segments, texts
 from .workspace import save
 
 WINDOW = 50
-#: Length of the anchors by which passages are dealt to shards: every window has one, the least of its anchor hashes.
+#: Length of the anchors by which passages are dealt to groups: every window has one, the least of its anchor hashes.
 ANCHOR = 20
-#: Passages of a shard, about, and of an anchor before its windows are dealt by their own hash.
-SHARD, HOT = 4000, 500
-#: Of the windows over a hot anchor, one in so many is compared first.
-COARSE = 8
+#: Distinct passages of a shard, about, and of a group before it is split by the words next to its anchor.
+SHARD, GROUP = 4000, 1000
+NEVER = np.iinfo(np.int64).max
 
 
 class WaveletTree:
@@ -172,47 +171,23 @@ def anchors(t, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     return where, hashes[where]
 
 
-def ranges(doc: np.ndarray, u: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
-    """Covered word ranges [a, b) of windows that start at `start`, merged where starts follow each other."""
-    if len(start):
-        new = np.r_[True, (np.diff(start) != 1) | (np.diff(doc) != 0) | (np.diff(u) != 0)]
-        head, tail = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(start)] - 1
-        doc, u, start, end = doc[head], u[head], start[head], start[tail] + window
-    else:
-        end = start
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, u, start, end)], ["doc_id", "u", "a", "b"])
+def named(body: bytes) -> tuple[int, int]:
+    """128 bits that name some words."""
+    digest = hashlib.blake2b(body, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def search_shard(table: pa.Table, window: int) -> pa.Table:
-    """Builds the FM-index of a shard's distinct passages and streams them through it: ranges that a smaller doc_id holds too."""
-    coded = table["words"].combine_chunks().dictionary_encode()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    code, doc = coded.indices.to_numpy(zero_copy_only=False), table["doc_id"].to_numpy()
-    owner = np.full(len(coded.dictionary), np.iinfo(np.int64).max, np.int64)
-    np.minimum.at(owner, code, doc)
-    hashes, count = [], []
-    for _, _, t in texts(coded.dictionary):
-        hashes.append(t.hashes())
-        count.append(t.count)
-    _, flat = np.unique(np.concatenate(hashes), return_inverse=True)
-    at = np.r_[0, np.cumsum(np.concatenate(count))]
-    least = window_owners(flat, at, FMIndex(flat, at, owner, window))
-    most = int(np.diff(at).max())
-    padded = np.full(len(least) + most, np.iinfo(np.int64).max)
-    padded[: len(least)] = least
-    found, start = [], table["start"].to_numpy()
-    for i in range(0, len(code), 1000):
-        place = np.arange(most)[None, :]
-        c = code[i : i + 1000]
-        inside = place < (at[c + 1] - at[c])[:, None]
-        row, col = np.nonzero(inside & (padded[at[c][:, None] + place] < doc[i : i + 1000, None]))
-        found.append(np.stack([doc[i + row], table["u"].to_numpy()[i + row], start[i + row] + col], 1))
-    hit = np.concatenate(found)
-    return pa.Table.from_batches([ranges(hit[:, 0], hit[:, 1], hit[:, 2], window)])
+def rows_of(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(k) if k == pa.string() else pa.array(list(c), k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+
+
+PASSAGE = [("doc_id", pa.int64()), ("u", pa.int64()), ("key", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("start", pa.int64()), ("spot", pa.int64()), ("words", pa.string())]
 
 
 def passages(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, u, key, start, words: what surrounds each anchor that is not hot, just wide enough for every window over it."""
+    """What surrounds each anchor, just wide enough for every window over it: doc_id, u, key, the passage's name (p1, p2), its first
+    word's place in the text (start), the anchor's place in it (spot) and its words."""
 
     def run(batches):
         reach = window - anchor
@@ -220,57 +195,109 @@ def passages(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
             for doc, u, text, spots in zip(*(batch.column(c) for c in ("doc_id", "u", "text", "spots")), strict=True):
                 words, rows = text.as_py().encode("utf-8", "replace").split(), []
                 for spot in spots.as_py():
-                    if not spot["hot"]:
-                        a = max(0, spot["place"] - reach)
-                        rows.append((spot["key"], a, b" ".join(words[a : spot["place"] + anchor + reach])))
-                if rows:
-                    key, a, body = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(rows)), pa.array([u.as_py()] * len(rows)), pa.array(key), pa.array(a, pa.int64()), pa.array(body, pa.binary()).cast(pa.string())], ["doc_id", "u", "key", "start", "words"])
+                    a = max(0, spot["place"] - reach)
+                    body, at = b" ".join(words[a : spot["place"] + anchor + reach]), spot["place"] - a
+                    rows.append((doc.as_py(), u.as_py(), spot["key"], *named(b"%d " % at + body), a, at, body))
+                yield rows_of(rows, PASSAGE)
 
-    return candidates.mapInArrow(run, "doc_id long, u long, key long, start long, words string")
+    return candidates.mapInArrow(run, "doc_id long, u long, key long, p1 long, p2 long, start long, spot long, words string")
 
 
-def hot_windows(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, u, places and 128-bit hashes (w1, w2) of every window over a hot anchor: such windows are grouped by themselves."""
+def distinct(passages: DataFrame) -> DataFrame:
+    """Each passage of a group (key) once, with the least and the greatest doc_id that hold it. low, high: where its windows may start,
+    counted from the anchor."""
+    facts = [F.min("least").alias("least"), F.max("most").alias("most"), *[F.any_value(c).alias(c) for c in ("spot", "low", "high", "words")]]
+    return passages.groupBy("key", "p1", "p2").agg(*facts)
 
-    def run(batches):
-        for batch in batches:
-            keep = [any(s["hot"] for s in x) for x in batch.column("spots").to_pylist()]
-            part = pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_()))
-            spots, doc, u = part["spots"].to_pylist(), part["doc_id"].to_numpy(), part["u"].to_numpy()
-            for at, to, t in texts(part["text"]):
-                h = t.hashes()
-                w1, w2 = rolling(h, window, 21), rolling(mix64(h + np.uint64(5)), window, 22)
-                found: list[list] = [[], [], []]
-                for i in range(to - at):
-                    n = int(t.count[i]) - window
-                    places = np.array(sorted({x for s in spots[at + i] if s["hot"] for x in range(max(0, s["place"] + anchor - window), min(n, s["place"]) + 1)}), np.int64)
-                    for out, v in zip(found, (places, w1[t.first[i] + places].view(np.int64), w2[t.first[i] + places].view(np.int64)), strict=True):
-                        out.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at:to]), pa.array(u[at:to]), *[pa.array(x, pa.list_(pa.int64())) for x in found]], ["doc_id", "u", "places", "w1", "w2"])
-
-    return candidates.mapInArrow(run, "doc_id long, u long, places array<long>, w1 array<long>, w2 array<long>")
-
-
-def still_open(hot: DataFrame, window: int) -> DataFrame:
-    """doc_id, u, place, w1, w2 of the windows of hot that aren't COARSE and don't lie between two found windows (array `got`) that
-    together cover them."""
+
+def halves(groups: DataFrame, window: int) -> DataFrame:
+    """Splits passages: the windows that start in the first half of [low, high] and those of the second are passages of their own. All
+    windows of a half hold the same words around the anchor, which go into the new key, so equal windows stay together and passages
+    that differ in those words part. With low = high, a group is one window's copies. off: the new passage's place in the old one."""
+    kinds = [(c, pa.int64()) for c in ("key", "p1", "p2", "key2", "q1", "q2", "off", "least", "most", "spot", "low", "high")] + [("words", pa.string())]
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, u, places, w1, w2, got in zip(*(batch.column(c) for c in ("doc_id", "u", "places", "w1", "w2", "got")), strict=True):
-                p, a, b = (np.asarray(x.values) for x in (places, w1, w2))
-                left = a % COARSE != 0
-                if got.is_valid and len(got) > 1:
-                    g = np.sort(np.asarray(got.values))
-                    k = np.clip(np.searchsorted(g, p), 1, len(g) - 1)
-                    left &= ~((g[k - 1] <= p) & (p <= g[k]) & (g[k] - g[k - 1] <= window))
-                for x, v in zip(out, (np.full(left.sum(), doc.as_py()), np.full(left.sum(), u.as_py()), p[left], a[left], b[left]), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["doc_id", "u", "place", "w1", "w2"])
+            rows = []
+            for x in batch.to_pylist():
+                words, mid = x["words"].encode("utf-8", "replace").split(b" "), (x["low"] + x["high"]) // 2
+                for low, high in ((x["low"], mid), (mid + 1, x["high"])):
+                    a, b = max(0, x["spot"] + low), min(len(words), x["spot"] + high + window)
+                    if low <= high and b - a >= window and x["spot"] + high >= a and x["spot"] + low + window <= b:
+                        body, spot = b" ".join(words[a:b]), x["spot"] - a
+                        fixed = b" ".join(words[x["spot"] + high : x["spot"] + low + window])
+                        key = named(b"%d %d %d " % (x["key"], low, high) + fixed)[0]
+                        rows.append((x["key"], x["p1"], x["p2"], key, *named(b"%d " % spot + body), a, x["least"], x["most"], spot, low, high, body))
+            yield rows_of(rows, kinds)
 
-    return hot.select("doc_id", "u", "places", "w1", "w2", "got").mapInArrow(run, "doc_id long, u long, place long, w1 long, w2 long")
+    return groups.mapInArrow(run, ", ".join(f"{c} {'string' if k == pa.string() else 'long'}" for c, k in kinds))
+
+
+def search_shard(table: pa.Table, window: int) -> pa.Table:
+    """Builds the FM-index of a shard's distinct passages and streams them through it. Of each passage: the runs of windows (first a, last
+    b) with one least owner, where that is smaller than the greatest doc_id that holds the passage."""
+    coded = table["words"].combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    owner = np.full(len(coded.dictionary), NEVER, np.int64)
+    np.minimum.at(owner, code, table["least"].to_numpy())
+    hashes, count = [], []
+    for _, _, t in texts(coded.dictionary):
+        hashes.append(t.hashes())
+        count.append(t.count)
+    _, flat = np.unique(np.concatenate(hashes), return_inverse=True)
+    count = np.concatenate(count)
+    at = np.r_[0, np.cumsum(count)]
+    least = window_owners(flat, at, FMIndex(flat, at, owner, window))
+    long = count[code]
+    row = np.repeat(np.arange(len(code)), long)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+    own = least[at[code][row] + place]
+    hit = np.flatnonzero(own < table["most"].to_numpy()[row])
+    row, place, own = row[hit], place[hit], own[hit]
+    head = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(place) != 1) | (np.diff(own) != 0)][: len(row)])
+    last = np.r_[head[1:], len(row)][: len(head)] - 1
+    runs = pa.StructArray.from_arrays([pa.array(place[head].astype(np.int64)), pa.array(place[last].astype(np.int64)), pa.array(own[head])], ["a", "b", "owner"])
+    some, first = np.unique(row[head], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(head)].astype(np.int32)), runs)
+    keys = [table[c].combine_chunks().take(pa.array(some)) for c in ("key", "p1", "p2")]
+    return pa.table([*keys, lists], names=["key", "p1", "p2", "runs"])
+
+
+def owned_runs(found: DataFrame, window: int, shard: int, group: int) -> DataFrame:
+    """key, p1, p2, runs of the distinct passages in found (key, p1, p2, least, most, spot, low, high, words), through FM-indexes.
+
+    A group of more than `group` distinct passages is halved, and so are its halves, until none is larger; since a group of one window
+    has one passage, log2 of the window's length bounds the rounds. Shards take whole groups, and so hold a bounded number of passages.
+    """
+    ready, maps = [], []
+    while True:
+        many = found.groupBy("key").count().where(F.col("count") > group).select("key")
+        many = save(many, "large-groups")
+        if many.isEmpty():
+            ready.append(found)
+            break
+        ready.append(found.join(many, "key", "left_anti"))
+        split = save(halves(found.join(many, "key"), window), "halves")
+        maps.append(split.select("key", "p1", "p2", "key2", "q1", "q2", "off").distinct())
+        renamed = split.select(F.col("key2").alias("key"), F.col("q1").alias("p1"), F.col("q2").alias("p2"), "least", "most", "spot", "low", "high", "words")
+        found = distinct(renamed)
+        alone = found.groupBy("key").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l < m").select("key")
+        found = save(found.join(alone, "key", "left_semi"), "passages-split")
+    every = ready[0]
+    for x in ready[1:]:
+        every = every.unionByName(x)
+    shards = max(1, -(-every.count() // shard))
+    placed = every.select("key", "p1", "p2", "least", "most", "words").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    out = placed.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "key long, p1 long, p2 long, runs array<struct<a: long, b: long, owner: long>>")
+    if maps:
+        out = save(out, "runs")
+    for x in reversed(maps):
+        found = x.join(out.select(F.col("key").alias("key2"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), "runs"), ["key2", "q1", "q2"])
+        moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), (r["b"] + F.col("off")).alias("b"), r["owner"].alias("owner")))
+        both = found.select("key", "p1", "p2", moved.alias("runs")).groupBy("key", "p1", "p2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        out = out.unionByName(both)
+    return out
 
 
 def cut_texts(candidates: DataFrame) -> DataFrame:
@@ -291,14 +318,15 @@ def cut_texts(candidates: DataFrame) -> DataFrame:
     return candidates.mapInArrow(run, "doc_id long, u long, n_removed long, kept string")
 
 
-def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group: int = GROUP, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Removes each word covered by a window of `window` words that also starts in a document with a smaller doc_id.
 
     Returns (doc_id, n_words, n_removed, kept_sha256) of every document, and (doc_id, kept) of those that lose some but not all words.
-    Whole texts with an equal word sequence are settled at once; of the rest, passages around anchors that several documents share
-    go to shards by anchor, and each shard's FM-index is searched backward by every passage of it. Windows over an anchor with more
-    than `hot` passages are compared by their own hashes, so no shard holds a group of unbounded size.
-    Null texts have no words. Rows with a null doc_id are left out; rows that share a doc_id never remove each other's words.
+    Whole texts with an equal word sequence are settled at once. Of the rest, passages around anchors that several documents share are
+    reduced to distinct ones with their least doc_id; each is searched backward once, in its shard's FM-index, and the runs found are
+    joined back to the documents that hold it. Null and empty texts have no words; texts are whole at any length. Rows with a null
+    doc_id are left out; rows that share a doc_id (equal or not) are returned each and never remove each other's words. Columns other
+    than doc_id and text are ignored. An empty table gives an empty result.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     facts = save(word_facts(docs, window, anchor), "facts")
@@ -306,9 +334,8 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, h
     firsts = slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = save(slim.join(firsts.select("sha", "first"), "sha").where("first < doc_id").select("doc_id", "u").distinct(), "copies")
     spots = facts.join(copies, ["doc_id", "u"], "left_anti").select("doc_id", "u", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "u", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
-    shared = spots.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = save(shared.select("key", "n", (F.col("n") > hot).alias("hot")), "shared-anchors")
-    met = spots.join(shared.drop("n"), "key").groupBy("doc_id", "u").agg(F.collect_list(F.struct("key", "place", "hot")).alias("spots"))
+    shared = save(spots.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "shared-anchors")
+    met = spots.join(shared, "key").groupBy("doc_id", "u").agg(F.collect_set(F.struct("key", "place")).alias("spots"))
 
     def same(batches):
         for batch in batches:
@@ -317,21 +344,14 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, h
 
     joined = docs.join(met, "doc_id").select("doc_id", "u", "text", "spots")
     candidates = save(joined.mapInArrow(same, joined.schema), "candidates")
-    cold = shared.where("not hot").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-cold // shard))
-    parts = passages(candidates, window, anchor).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    found = parts.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "doc_id long, u long, a long, b long")
-    held = save(hot_windows(candidates, window, anchor), "hot-windows")
-    each = lambda x: held.select("doc_id", "u", F.explode(x).alias("x")).select("doc_id", "u", F.col("x.places").alias("place"), "x.w1", "x.w2")
-    zipped = F.arrays_zip("places", "w1", "w2")
-    owners = each(zipped).groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    owners = save(owners.select("w1", "w2", "least"), "hot-owners")
-    own = lambda x: x.join(owners, ["w1", "w2"]).where("least < doc_id").select("doc_id", "u", "place")
-    # One in COARSE windows, by content, comes first: what lies between two that are found is covered by them and needs no row of its own.
-    coarse = save(own(each(F.filter(zipped, lambda x: x["w1"] % COARSE == 0))), "hot-coarse")
-    fine = own(still_open(held.join(coarse.groupBy("doc_id", "u").agg(F.collect_set("place").alias("got")), ["doc_id", "u"], "left"), window))
-    again = coarse.union(fine).select("doc_id", "u", F.col("place").alias("a"), (F.col("place") + window).alias("b"))
-    spans = found.union(again).groupBy("doc_id", "u").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    held = save(passages(candidates, window, anchor), "passages")
+    widest = [F.lit(anchor - window).cast("long").alias("low"), F.lit(0).cast("long").alias("high")]
+    found = save(distinct(held.select("key", "p1", "p2", F.col("doc_id").alias("least"), F.col("doc_id").alias("most"), "spot", *widest, "words")), "passages-distinct")
+    runs = owned_runs(found, window, shard, group)
+    smaller = F.filter("runs", lambda r: r["owner"] < F.col("doc_id"))
+    cover = F.transform(smaller, lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + window).alias("b")))
+    spans = held.select("doc_id", "u", "key", "p1", "p2", "start").join(runs, ["key", "p1", "p2"]).select("doc_id", "u", cover.alias("spans")).where(F.size("spans") > 0)
+    spans = spans.groupBy("doc_id", "u").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = save(cut_texts(candidates.join(spans, ["doc_id", "u"]).select("doc_id", "u", "text", "spans")).dropDuplicates(["doc_id", "u"]), "cut")
     marked = facts.select("doc_id", "u", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "u"], "left")
     marked = marked.join(cut.select("doc_id", "u", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("cut_sha")), ["doc_id", "u"], "left")

@@ -173,15 +173,38 @@ def brute_windows(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [500, 1])
-def test_windows(docs, empty, hot):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_windows(docs, hot=hot)[0].collect()}
+@pytest.mark.parametrize("group", [1000, 1])
+def test_windows(docs, empty, group):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_windows(docs, group=group)[0].collect()}
     assert got == brute_windows(TEXTS, 50)
-    if hot == 1:
+    if group == 1:
         assert substrings.dedup_windows(empty)[0].count() == 0
         assert substrings.dedup_windows(docs.union(docs))[0].count() == 2 * len(TEXTS)
 
 
+def test_windows_of_near_copies(spark):
+    """Near copies, each with edits of its own: groups are halved, down to single windows, and nothing is lost."""
+    rng, base = np.random.default_rng(8), passage(77, 300).split()
+    texts = {}
+    for i in range(60):
+        w = base[:]
+        for k in rng.choice(300, rng.integers(0, 8), replace=False):
+            w[k] = f"edit{i % 25}x{k}"
+        texts[i] = " ".join(w[int(rng.integers(0, 20)) :])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for group in (3, 10, 1000):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_windows(df, group=group, shard=50)[0].collect()}
+        assert got == brute_windows(texts, 50), group
+
+
+def test_windows_of_repeated_ids(spark):
+    """Two texts of one id: each loses what a smaller id holds, and nothing for the other's sake."""
+    a, b = passage(5, 70), passage(6, 70)
+    df = spark.createDataFrame([(1, a), (5, a + " tail"), (5, b), (5, b + " more"), (9, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_windows(df)[0].collect())
+    assert got == [(1, 70, 0), (5, 70, 0), (5, 71, 0), (5, 71, 70), (9, 70, 70)]
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 3, n) for n in (30, 7, 40, 12, 3)]
