@@ -67,13 +67,24 @@ class Texts:
 
     def hashes(self, lower: bool = False, width: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word; lower: A-Z as a-z; width: of the first so many bytes only."""
-        if not len(self.start):
+        return self.spans(self.start, self.end if width is None else np.minimum(self.end, self.start + width), lower)
+
+    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each stretch of bytes."""
+        if not len(start):
             return np.zeros(0, np.uint64)
         codes = _BYTE_CODE[_LOWER[self.data]] if lower else _BYTE_CODE[self.data]
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(codes * powers(_BASE, len(codes)), out=total[1:])
-        end = self.end if width is None else np.minimum(self.end, self.start + width)
-        return mix64((total[end] - total[self.start]) * powers(_BASE_INVERSE, len(codes))[self.start] + np.uint64(1))
+        return mix64((total[end] - total[start]) * powers(_BASE_INVERSE, len(codes))[start] + np.uint64(1))
+
+    def letters_end(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words with a last full stop or comma after a letter a-z cut off as a stretch of its own: starts, ends, stretches of each text."""
+        last, before = self.data[self.end - 1], _LOWER[self.data[np.maximum(self.end - 2, 0)]]
+        cut = ((last == 46) | (last == 44)) & (self.end - self.start > 1) & (before >= 97) & (before <= 122)
+        at = np.flatnonzero(cut)
+        extra = np.diff(np.r_[0, np.cumsum(cut)][self.first])
+        return np.insert(self.start, at + 1, self.end[at] - 1), np.insert(np.where(cut, self.end - 1, self.end), at + 1, self.end[at]), self.count + extra
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()

@@ -303,11 +303,28 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_pack_block_pads_little():
-    long = np.random.default_rng(6).integers(1, 2049, 5000)
-    sequence, _ = packing.pack_block(long)
-    filled = np.bincount(sequence, weights=long)
-    assert filled.max() <= 2048 and 1 - filled.sum() / (2048 * len(filled)) < 0.02
+def test_pack_block_makes_windows_of_all_tiers():
+    long = np.minimum(np.random.default_rng(6).lognormal(6, 1, 5000).astype(int) + 1, 2048)
+    rows, tier = packing.pack_block(long)
+    filled = np.bincount(rows[:, 3], weights=rows[:, 2])
+    assert set(tier) == set(packing.TIERS) and (filled <= tier).all() and (filled == tier)[tier < 2048].all()
+    assert 1 - filled.sum() / tier.sum() < 0.005
+    by = defaultdict(list)
+    for i, first, n, _, _ in rows.tolist():
+        by[i].append((first, n))
+    for i, parts in by.items():
+        at = 0
+        for first, n in sorted(parts):
+            assert first == at and n > 0
+            at += n
+        assert at == long[i]
+    assert len(by) == len(long)
+    group = packing.step_groups(tier, filled)
+    tokens = np.bincount(group, weights=filled)
+    assert len(tokens) > 10 and tokens.max() - tokens.min() <= 2 * 2048
+    for few in ([], [1], [2048], [300, 300], [2047, 2047, 1]):
+        rows, tier = packing.pack_block(np.array(few, np.int64))
+        assert sum(rows[:, 2]) == sum(few) and all(t == 2048 or t == f for t, f in zip(tier, np.bincount(rows[:, 3], weights=rows[:, 2], minlength=len(tier)), strict=True))
 
 
 def test_scan_finds_segments():
