@@ -59,6 +59,8 @@ def tilted_rates(cells: DataFrame, targets: DataFrame, most: int = MOST_COPIES,
         if worst is None or worst <= tolerance:
             break
         state = state.drop("err")
+    else:
+        raise RuntimeError(f"entropy balancing did not converge in {rounds} rounds")
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-9)
     rate = F.when(full, F.lit(float(most))).otherwise(F.exp(z))
     return cells.join(state, "skey").select("skey", "size", "n", rate.alias("rate"), "target", "source_size")
@@ -84,12 +86,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Returns doc_id, size, source_size, target, copies (0 to 2), taken, one row per input row; keep: other columns of docs to return.
     Null or empty texts have size 0 and are taken 0 words of; null is a source of its own, the last. Rows with a null doc_id take no
-    part. Repeated rows are separate documents. An empty table gives an empty result. Other columns of docs are ignored.
+    part. Rows that share a doc_id, equal or not, are documents of their own. Texts are whole at any length. An empty table gives an
+    empty result. Other columns of docs are ignored.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     base = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.col("source"), size.alias("size"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int").alias("salt"), F.struct(F.lit(0).alias("none"), *(keep or [])).alias("kept"),
     )
     base = save(base, "sizes")
     parts = save(base.groupBy("skey", "size", "salt").agg(F.count("*").alias("k"), F.first("source").alias("source")), "cells")
@@ -105,5 +108,5 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ranked = base.drop("source").join(dealt, ["skey", "size", "salt"]).withColumn("place", F.row_number().over(order))
     each = F.floor(F.col("m") / F.col("k"))
     copies = (each + F.when(F.col("place") <= F.col("m") - each * F.col("k"), 1).otherwise(0)).cast("long")
-    out = ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"))
+    out = ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"kept.{c}").alias(c) for c in keep or []])
     return out.withColumn("taken", F.col("copies") * F.col("size"))

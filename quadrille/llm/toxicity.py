@@ -16,8 +16,8 @@ from .workspace import save
 #: Half of the table is for words, half for their first PREFIX bytes.
 SLOTS = 1 << 20
 PREFIX = 5
-#: Bounds of what is fitted on: labelled rows, and features that are kept.
-LABELLED, FEATURES = 30_000, 65_536
+#: Bound of the labelled rows that are fitted on.
+LABELLED = 30_000
 DRIFT = 0.5
 THRESHOLD = 0.3
 PRIOR_FLAT, PRIOR_MASS = 0.5, 1000.0
@@ -55,11 +55,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2
 
 
-def log_odds(docs: DataFrame, train: DataFrame, most: int = FEATURES) -> np.ndarray:
-    """A score for each slot: the bound of its log-odds (toxic to clean) that is nearer 0, under Dirichlet priors of the overall rates.
-
-    The `most` slots farthest from 0 are kept; the rest score 0.
-    """
+def log_odds(docs: DataFrame, train: DataFrame) -> np.ndarray:
+    """A score for each slot: the bound of its log-odds (toxic to clean) that is nearer 0, under Dirichlet priors of the overall rates."""
     labelled = docs.join(F.broadcast(train), "doc_id").select("text", "toxic")
     counts = labelled.mapInArrow(_count, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("c1"), F.sum("clean").alias("c0"))
     counts = save(counts, "token-counts")
@@ -72,7 +69,7 @@ def log_odds(docs: DataFrame, train: DataFrame, most: int = FEATURES) -> np.ndar
     a, b = F.col("c1") + prior, F.col("c0") + prior
     delta = F.ln(a / (n1 + PRIOR_MASS)) - F.ln(b / (n0 + PRIOR_MASS))
     sure = F.greatest(F.abs(delta) - 2 * F.sqrt(1 / a + 1 / b), F.lit(0.0))
-    kept = counts.select("slot", (F.signum(delta) * sure).alias("s")).where(F.abs("s") > 0.1).orderBy(F.desc(F.abs("s")), "slot").limit(most).toPandas()
+    kept = counts.select("slot", (F.signum(delta) * sure).alias("s")).where(F.abs("s") > 0.1).toPandas()  # SLOTS rows at most
     table[kept["slot"].to_numpy()] = kept["s"].to_numpy()
     return table
 
@@ -104,8 +101,8 @@ def scan(score: np.ndarray, group: np.ndarray):
     return np.concatenate(found) if found else np.zeros((0, 3))
 
 
-def passages(docs: DataFrame, table: np.ndarray, drift: float = DRIFT) -> DataFrame:
-    """doc_id, n_words and every positive segment of each whole text: its first word, its length and its score."""
+def passages(docs: DataFrame, table: np.ndarray, drift: float = DRIFT, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words and every positive segment of each whole text: its first word, its length and its score; and `keep` as a struct."""
 
     def run(batches):
         for batch in batches:
@@ -123,9 +120,10 @@ def passages(docs: DataFrame, table: np.ndarray, drift: float = DRIFT) -> DataFr
                 first = found[:, 0].astype(np.int64) - t.first[d]
                 long = (found[:, 1] - found[:, 0]).astype(np.int64) + 1
                 seg = pa.StructArray.from_arrays([pa.array(first), pa.array(long), pa.array(found[:, 2])], ["first", "length", "score"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), pa.array(t.count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), seg)], ["doc_id", "n_words", "passages"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), pa.array(t.count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), seg), batch.column("kept").slice(at, to - at)], ["doc_id", "n_words", "passages", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, passages array<struct<first: long, length: long, score: double>>")
+    kept = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(keep or [])).alias("kept"))
+    return kept.mapInArrow(run, f"doc_id long, n_words long, passages array<struct<first: long, length: long, score: double>>, kept {dict(kept.dtypes)['kept']}")
 
 
 @dataclass
@@ -173,15 +171,17 @@ def calibrate(found: DataFrame, train: DataFrame) -> Calibration:
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """Scores every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.3), n_words, passages (significant or not).
+def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: list[str] | None = None) -> DataFrame:
+    """Scores every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.3), n_words, passages (significant or not) and the
+    columns of `keep` (names other than those).
 
-    Only the text of a document enters its score. Null and empty texts get the score of no evidence. Rows with a null doc_id are left
-    out; repeated rows are scored each. Without labels of both kinds all scores are near 0. Extra columns are ignored.
+    Only the text of a document enters its score. Null and empty texts get the score of no evidence; texts are whole at any length. Rows
+    with a null doc_id are left out; rows that share a doc_id, equal or not, are scored each, and a label of the id counts for all of
+    them. Without labels of both kinds all scores are near 0. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(keep or []))
     train = save(training_labels(labels, labelled), "training-labels")
-    found = save(passages(docs, log_odds(docs, train)), "passages")
+    found = save(passages(docs, log_odds(docs, train), keep=keep), "passages")
     law = calibrate(found, train)
-    scored = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), law.probability().alias("score"), "n_words", "passages")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "passages")
+    scored = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), law.probability().alias("score"), "n_words", "passages", "kept")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "passages", *[F.col(f"kept.{c}").alias(c) for c in keep or []])

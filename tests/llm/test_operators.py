@@ -245,8 +245,32 @@ def test_lines(docs, empty):
 def test_runs_are_compacted(spark):
     runs = lines.Runs(spark, fanout=2)
     for i in range(5):
-        runs.add(spark.range(i * 10, i * 10 + 10).selectExpr("id as h1", "id as h2"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.read().count() == 50
+        runs.add(runs.write(spark.range(i * 10, i * 10 + 10).selectExpr("id as h1", "id as h2"), dealt=False))
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and sorted(r.h1 for t in runs.tables() for r in t.collect()) == list(range(50))
+    runs.drop()
+
+
+def test_runs_are_not_dealt_or_sorted_again(spark):
+    runs = lines.Runs(spark)
+    name = runs.write(spark.range(100).selectExpr("id as h1", "id as h2"), dealt=False)
+    spark.conf.set(lines.ORDERED, "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        other = spark.range(50, 150).selectExpr("id as h1", "id as h2", "1 as seen").groupBy("h1", "h2").agg(F.max("seen"))
+        plan = other.join(spark.table(name), lines.KEY, "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(lines.ORDERED)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.drop()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "SortMergeJoin" in plan
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id with different texts lose their own lines only."""
+    rows = [(1, "common line here\nmine alone here"), (5, "common line here\nfive"), (5, "kept other text\nzzz"), (5, "kept other text\nzzz"), (9, "kept other text")]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, row string, pos int")
+    got = sorted((r.doc_id, r.text, r.row) for r in lines.dedup_lines(df, keep=["row"]).collect())
+    assert got == [(1, rows[0][1], "x"), (5, "five", "x"), (5, "kept other text\nzzz", "x"), (5, "kept other text\nzzz", "x"), (9, "", "x")]
 
 
 def test_mixing(spark, docs, empty):
