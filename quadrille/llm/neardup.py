@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import mix64, rolling, segments, signed, texts
@@ -16,8 +16,6 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 ROUNDS = 2
 NUMERATOR, DENOMINATOR = 80, 100
-#: Parts of the hash space in which shared shingles are counted.
-PARTS = 128
 
 
 def permute(x: np.ndarray, salt: int) -> np.ndarray:
@@ -64,8 +62,13 @@ def circulant_bands(sets: np.ndarray, at: np.ndarray, bands: int, rows: int) ->
     return keys
 
 
+def class_ids(sets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each set, which name the class of documents with that set."""
+    return np.array([int.from_bytes(hashlib.blake2b(sets[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (s1, s2), and its band keys (empty sets: none)."""
+    """doc_id, kept, n_shingles, the id of the set's class, and its band keys (empty sets: none)."""
 
     def run(batches):
         for batch in batches:
@@ -75,28 +78,26 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 size = np.diff(cut)
                 full = np.flatnonzero(size)
                 keys = circulant_bands(sets, cut[full], bands, rows) if len(full) else np.zeros((0, bands), np.uint64)
-                digest = np.array([np.frombuffer(hashlib.blake2b(sets[cut[i] : cut[i + 1]].tobytes(), digest_size=16).digest(), np.int64) for i in range(t.n)]).reshape(-1, 2)
                 upto = np.zeros(t.n + 1, np.int32)
                 upto[1:] = np.cumsum(size > 0) * bands
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(size.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.ListArray.from_arrays(pa.array(upto), signed(keys.ravel()))],
-                    ["doc_id", "n_shingles", "s1", "s2", "bands"],
+                    [ids.slice(at, to - at), batch.column("kept").slice(at, to - at), pa.array(size.astype(np.int64)), pa.array(class_ids(sets, cut)), pa.ListArray.from_arrays(pa.array(upto), signed(keys.ravel()))],
+                    ["doc_id", "kept", "n_shingles", "id", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.select("doc_id", "text", "kept").mapInArrow(run, f"doc_id long, kept {dict(docs.dtypes)['kept']}, n_shingles long, id long, bands array<long>")
 
 
 def packed_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and the packed, sorted shingle hashes of each text."""
+    """The class id and the packed, sorted shingle hashes of each text."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            for at, to, t in texts(batch.column("text")):
+            for _, _, t in texts(batch.column("text")):
                 sets, cut = shingle_sets(t, shingle)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array([sets[cut[i] : cut[i + 1]].tobytes() for i in range(t.n)], pa.binary())], ["id", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, cut)), pa.array([sets[cut[i] : cut[i + 1]].tobytes() for i in range(t.n)], pa.binary())], ["id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, packed binary")
+    return docs.select("text").mapInArrow(run, "id long, packed binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -121,47 +122,37 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denom
     return both.select("id", "hub", "mine", "other").mapInArrow(run, "id long, hub long")
 
 
-def feasible_pairs(rest: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """Pairs (id, hub) of one band and different components in rest (band, id, comp), but for those that cannot reach the similarity.
+def prefix_pairs(rest: DataFrame, sets: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """Pairs (id, hub) of different components in rest (id, comp) that can reach the similarity; none that does is missing.
 
-    A shingle that only one of these sets holds is in no intersection. The shared ones of each set are counted in PARTS parts of the hash
-    space; two sets meet in no more than the sum of the lesser counts, which settles a pair where that is too little for their sizes. Near
-    copies of one text that differ from it each in its own way so make no pairs with each other. A set too poor in shared shingles for
-    any partner is left out before bands are joined.
+    Only shingles that two components hold can be in an intersection. Two sets that meet in at least t shingles of n share one of the
+    first n - t + 1 of each in any common order; with the shingles of one component first, and then by the number of sets that hold
+    them, these prefixes hold rare shingles only, or nothing. So near copies that differ each in its own way make no pairs with each
+    other. Of two sets that share a prefix's shingle, one isn't of the component that holds it most often: pairs are made from that
+    side, so a large component makes none with itself.
     """
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 64):
                 packed = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("packed").slice(at, 64)]
-                ids = np.repeat(batch.column("id").slice(at, 64).to_numpy(), [len(x) for x in packed])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(packed))], ["id", "shingle"])
-
-    def tally(batches):
-        for batch in batches:
-            sizes, shared = [], []
-            for packed, own in zip(batch.column("packed"), batch.column("own"), strict=True):
-                every = np.frombuffer(packed.as_buffer(), np.uint64)
-                alone = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else every[:0]
-                sizes.append(len(every))
-                shared.append(np.bincount(every % np.uint64(PARTS), minlength=PARTS) - np.bincount(alone % np.uint64(PARTS), minlength=PARTS))
-            counts = np.array(shared, np.int32).reshape(-1, PARTS)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS), pa.array(counts.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts.sum(1).astype(np.int64)), lists], ["id", "n", "most", "parts"])
-
-    held = sets.join(rest.select("id").distinct(), "id", "left_semi")
-    spread = held.select("id", "packed").mapInArrow(run, "id long, shingle long")
-    own = spread.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.collect_list("shingle").alias("own"))
-    shared = held.select("id", "packed").join(own, "id", "left").mapInArrow(tally, "id long, n long, most long, parts array<int>")
-    shared = save(shared.where(F.col("most") * denominator >= F.col("n") * numerator), "shared")
-    placed = rest.select("band", "id", "comp").join(shared, "id")
-    small = placed.where(F.col("most") * (denominator + numerator) >= F.col("n") * (2 * numerator))
-    large = placed.select("band", F.col("id").alias("hub"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("parts").alias("parts2"))
-    rises = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("hub")))
-    needed = (F.col("n") + F.col("n2")) * numerator
-    meets = F.aggregate(F.zip_with("parts", "parts2", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, x: total + x)
-    able = (F.least("most", "most2") * (denominator + numerator) >= needed) & (meets * (denominator + numerator) >= needed)
-    return small.join(large, "band").where(rises & (F.col("comp") != F.col("comp2")) & able).select("id", "hub")
+                long = [len(x) for x in packed]
+                repeated = [np.repeat(batch.column(c).slice(at, 64).to_numpy(), long) for c in ("id", "comp")]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (*repeated, np.repeat(np.array(long, np.int64), long))], pa.array(np.concatenate(packed))], ["id", "comp", "n", "shingle"])
+
+    held = sets.join(rest.select("id", "comp").distinct(), "id").select("id", "comp", "packed")
+    spread = save(held.mapInArrow(run, "id long, comp long, n long, shingle long"), "shingles")
+    common = spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "df")
+    own = Window.partitionBy("id")
+    ranked = spread.join(common, "shingle").select("*", F.count("*").over(own).alias("c"), F.row_number().over(own.orderBy("df", "shingle")).alias("k"))
+    least = F.ceil(F.col("n") * numerator / denominator)
+    prefix = save(ranked.where(F.col("k") <= F.col("c") - least + 1).select("shingle", "id", "comp", "n", (F.col("c") - F.col("k") + 1).alias("left")), "prefixes")
+    main = prefix.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "main")
+    left = prefix.join(main, "shingle").where("comp <> main").select("shingle", "id", "comp", "n", "left")
+    right = prefix.join(main, "shingle", "left_semi").select("shingle", F.col("id").alias("hub"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    # From their first common shingle on, two sets meet in no more than the lesser number that is left.
+    able = (F.least("n", "n2") * denominator >= F.greatest("n", "n2") * numerator) & (F.least("left", "left2") * (numerator + denominator) >= (F.col("n") + F.col("n2")) * numerator)
+    return left.join(right, "shingle").where((F.col("comp") != F.col("comp2")) & able).select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -185,37 +176,39 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links of Jaccard >= 0.8 of the shingle sets) and kept.
+def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links of Jaccard >= 0.8 of the shingle sets), kept, and the columns of
+    `keep` (names other than those).
 
     Equal sets are one class. In each round a bucket's classes are checked against one hub, and then against what is not yet in its
-    component, so a group of copies costs its size and not its square; at the end every pair of a bucket that is still apart, not yet
-    checked and not ruled out by the shingles that only one set holds is checked, so no link among the candidates is lost. A true link is missed by all bands with probability (1 - 0.8^rows)^bands.
-    Rows with a null doc_id are left out; null and empty texts have no shingles and are alone; rows that share a doc_id are linked with
-    each other (each is returned). An empty table gives an empty result.
+    component, so a group of copies costs its size and not its square; at the end, of the sets that share a bucket and are still apart,
+    all pairs that can reach the similarity are checked (see prefix_pairs), so no link among the candidates is lost. A true link is
+    missed by all bands with probability (1 - 0.8^rows)^bands. Rows with a null doc_id are left out; null and empty texts have no
+    shingles and are alone; texts are whole at any length. Rows that share a doc_id are documents of their own: equal ones are copies,
+    others are linked by their sets alone; each is returned, and kept where no smaller doc_id is in its component. Other columns are
+    ignored. An empty table gives an empty result.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("none"), *(keep or [])).alias("kept"))
     signed_docs = save(signatures(docs, shingle, bands, rows), "signatures")
     full = signed_docs.where("n_shingles > 0")
-    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    member = save(full.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "id"), "members")
-    banded = full.join(member.where("doc_id = id").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
+    classes = save(full.groupBy("id").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "classes")
+    banded = classes.select("id", "first", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band")
-    buckets = save(banded.join(met, "band").select("band", "id"), "buckets")
+    buckets = save(banded.join(met, "band").select("band", "id", "first"), "buckets")
     ids = buckets.select("id").distinct()
-    sets = save(packed_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), shingle), "sets")
+    firsts = classes.select("id", "first").join(ids, "id").select(F.col("first").alias("doc_id")).distinct()
+    sets = save(packed_sets(docs.join(firsts, "doc_id", "left_semi"), shingle).join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
     none = docs.sparkSession.createDataFrame([], "id long, hub long")
     found, tested, label = none, none, none.select("id", F.col("hub").alias("comp"))
     for r in range(rounds + 1):
         placed = buckets.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if r else buckets.withColumn("comp", F.col("id"))
-        turn = (F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("turn")
-        open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(turn, F.col("id"), F.col("comp"))).alias("h")).where("low < high")
+        turn = F.xxhash64("id", F.lit(r)) if r else F.col("first")
+        open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(turn.alias("turn"), F.col("id"), F.col("comp"))).alias("h")).where("low < high")
         if r < rounds:
             hubs = open_.select("band", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
-            pairs = placed.join(hubs, "band").where("comp <> hub_comp")
+            pairs = placed.join(hubs, "band").where("comp <> hub_comp").select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
         else:
-            pairs = feasible_pairs(placed.join(open_.select("band"), "band"), sets)
-        pairs = pairs.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
+            pairs = prefix_pairs(placed.join(open_.select("band"), "band").select("id", "comp"), sets)
         pairs = save(pairs.join(tested, ["id", "hub"], "left_anti") if r else pairs, f"pairs{r}")
         if r and pairs.isEmpty():
             continue
@@ -225,7 +218,10 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
             continue
         found = found.union(good)
         label = components(found)
-    label = label.select("id", "comp")
-    placed = member.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("component_id"))
-    empty = signed_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    label = classes.select("id", "first").join(label.select("id", "comp"), "id")
+    least = label.groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = classes.select("id", "first").join(label.join(least, "comp").select("id", "component_id"), "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"))
+    facts = ["doc_id", "n_shingles", "kept"]
+    placed = full.select("id", *facts).join(named, "id").select(*facts, "component_id")
+    out = placed.union(signed_docs.where("n_shingles = 0").select(*facts, F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), *[F.col(f"kept.{c}").alias(c) for c in keep or []])

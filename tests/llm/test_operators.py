@@ -371,14 +371,14 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(docs, labels.limit(0)).agg(F.max("predicted")).first()[0] == 0
 
 
-def test_feasible_pairs_lose_no_link(spark):
+def test_prefix_pairs_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(1 << 62), 1 << 62, 300)
     sets = [np.unique(np.r_[rng.choice(base, int(300 * keep), replace=False), rng.integers(-(1 << 62), 1 << 62, new)]) for keep, new in zip(rng.uniform(0.75, 1, 60), rng.integers(0, 80, 60), strict=True)]
     sets += [np.unique(rng.integers(-(1 << 62), 1 << 62, 5)), sets[0][:1]]
     frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, packed binary")
-    rest = spark.createDataFrame([(b, i, i) for b in (1, 2) for i in range(len(sets))], "band long, id long, comp long")
-    got = {frozenset(r) for r in neardup.feasible_pairs(rest, frame).collect()}
+    rest = spark.createDataFrame([(i, i) for _ in (1, 2) for i in range(len(sets))], "id long, comp long")
+    got = {frozenset(r) for r in neardup.prefix_pairs(rest, frame).collect()}
     near = set()
     for i, a in enumerate(sets):
         for j in range(i):
@@ -387,4 +387,18 @@ def test_feasible_pairs_lose_no_link(spark):
                 near.add(frozenset((i, j)))
     assert near and near <= got
     assert len(got) < len(sets) * (len(sets) - 1) / 4
-    assert neardup.feasible_pairs(rest.where("id < 0"), frame).isEmpty()
+    assert neardup.prefix_pairs(rest.where("id < 0"), frame).isEmpty()
+    two = {i: int(i % 7 == 0) for i in range(len(sets))}
+    rest = spark.createDataFrame(list(two.items()), "id long, comp long")
+    got = {frozenset(r) for r in neardup.prefix_pairs(rest, frame).collect()}
+    assert {x for x in near if len({two[i] for i in x}) == 2} <= got and all(len({two[i] for i in x}) == 2 for x in got)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_links_of_repeated_ids(spark, rounds):
+    """Rows that share an id but not their text are linked by their own sets."""
+    a, b = passage(21, 100), passage(22, 100)
+    rows = [(5, a, "p"), (5, b, "q"), (2, a + " end", "r"), (7, b + " end", "s"), (5, a, "t"), (9, "", "u"), (9, None, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = {r.first: (r.component_id, r.kept) for r in neardup.near_components(df, rounds=rounds, keep=["first"]).collect()}
+    assert got == {"p": (2, False), "q": (5, True), "r": (2, True), "s": (5, False), "t": (2, False), "u": (9, True), "v": (9, True)}
