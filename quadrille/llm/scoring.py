@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from dataclasses import dataclass
 
@@ -11,14 +12,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import mix64, signed, texts
+from .kernels import signed, texts
 from .workspace import save
 
 #: The least word classes, and the share of the units that are buckets of all rarer words.
 CLASSES, OTHER = 32, 16
 REACH, WIDTH = 4, 24
-ROUNDS, MASK = 2, 8
+#: Rounds deal all documents among themselves, so every word is predicted once in training. SHARD: words that one task trains on, about.
+ROUNDS, SHARD = 2, 1_000_000
 RATE, BATCH = 0.15, 4096
+#: Parameter blocks of so many shards are added up by one task.
+FAN = 64
+#: Fixed values of glibc's malloc.h.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 #: Parameters are averaged as whole numbers of 1 / FIXED, so that sums do not hang on their order; BLOCK of them are a row.
 FIXED, BLOCK = 1 << 20, 8192
 
@@ -107,7 +113,7 @@ def numbered(runs: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame
         size = size.to_numpy()
         words = np.frombuffer(left.column("words")[0].as_py(), np.uint32)
         at = np.r_[0, np.cumsum(size)]
-        units = unit[words].astype(np.uint32)
+        units = unit[words].astype(packing(known.classes))
         lost = np.bincount(np.repeat(np.arange(len(size)), size), weights=share[words], minlength=len(size)).astype(np.float64)
         return pa.table([ids, pa.array([units[at[i] : at[i + 1]].tobytes() for i in range(len(size))], pa.binary()), pa.array(lost)], ["doc_id", "words", "share"])
 
@@ -124,127 +130,186 @@ def initial(classes: int, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def surroundings(words: np.ndarray, doc_end: np.ndarray, doc_start: np.ndarray, at: np.ndarray, pad: int) -> np.ndarray:
-    """The 2 * REACH words around each position, pad beyond its text."""
-    offsets = np.r_[-REACH:0, 1 : REACH + 1]
-    where = at[:, None] + offsets
-    inside = (where >= doc_start[at][:, None]) & (where < doc_end[at][:, None])
-    return np.where(inside, words[np.clip(where, 0, len(words) - 1)], pad)
+def packing(classes: int) -> np.dtype:
+    """How units are packed."""
+    return np.dtype("<u2" if classes**2 < 1 << 16 else "<u4")
 
 
-def hidden(net: dict, near: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(near), WIDTH), np.float32)
-    for o in range(near.shape[1]):
-        total += net["embed"][near[:, o]] * net["place"][o]
-    return np.tanh(total + net["bias"])
+def sequence(units: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units of some texts in a row, with REACH pads around each text, and where the units lie. at: where each text starts, and the end."""
+    where = np.arange(len(units)) + REACH * (np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1)
+    out = np.full(len(units) + REACH * len(at), pad, np.int64)
+    out[where] = units
+    return out, where
 
 
-def soft(logits: np.ndarray) -> np.ndarray:
-    """Log-probabilities along the last axis."""
-    logits = logits - logits.max(axis=-1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+def hidden(net: dict, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings of a sequence, and the hidden state of each place but the first and last REACH, from the REACH places on both sides."""
+    every, n = net["embed"][seq], len(seq) - 2 * REACH
+    total, part = np.repeat(net["bias"][None, :], n, axis=0), np.empty((n, every.shape[1]), every.dtype)
+    for k, o in enumerate(OFFSETS):
+        total += np.multiply(every[o : o + n], net["place"][k], out=part)
+    return every, np.tanh(total, out=total)
 
 
-def by_class(word: np.ndarray, classes: int):
-    group = word // classes
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        yield int(c), order[cuts[c] : cuts[c + 1]]
+OFFSETS = [o for o in range(2 * REACH + 1) if o != REACH]
+
 
+def exponentials(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the logits h @ weight + bias: themselves, their exponentials and those' sums, all up to a factor where they are large.
 
-def log_probabilities(net: dict, near: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h, classes = hidden(net, near), len(net["group_bias"])
-    out = soft(h @ net["group"] + net["group_bias"])[np.arange(len(word)), word // classes]
-    for c, rows in by_class(word, classes):
-        out[rows] += soft(h[rows] @ net["word"][c] + net["word_bias"][c])[np.arange(len(rows)), word[rows] % classes]
-    return out
+    h is a tanh, so the weights bound the logits, and only large ones need their greatest taken off.
+    """
+    logits = h @ weight
+    logits += bias
+    if np.abs(weight).sum(0).max(initial=0) + np.abs(bias).max(initial=0) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    out = np.exp(logits)
+    return logits, out, out.sum(axis=1)
 
 
-def train_step(net: dict, memory: dict, near: np.ndarray, word: np.ndarray) -> None:
-    """One Adagrad step on the masked words of a batch."""
-    h, n, classes = hidden(net, near), len(word), len(net["group_bias"])
-    grad = {k: np.zeros_like(v) for k, v in net.items()}
-    p = np.exp(soft(h @ net["group"] + net["group_bias"]))
-    p[np.arange(n), word // classes] -= 1
-    grad["group"], grad["group_bias"] = h.T @ p, p.sum(0)
+def by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and (class, first, end) of the classes in that order."""
+    order = np.argsort(group.astype(np.uint16) if classes < 1 << 16 else group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(classes + 1))
+    return order, [(int(c), int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts))]
+
+
+def log_probabilities(net: dict, seq: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The log-probability of each unit at `where` in a sequence, given those on both sides."""
+    classes = len(net["group_bias"])
+    h, unit = hidden(net, seq)[1][where - REACH], seq[where]
+    order, parts = by_class(unit // classes, classes)
+    h, unit = h[order], unit[order]
+    row = np.arange(len(unit))
+    group, within = np.divmod(unit, classes)
+    logits, _, total = exponentials(h, net["group"], net["group_bias"])
+    out = logits[row, group] - np.log(total)
+    for c, a, b in parts:
+        logits, _, total = exponentials(h[a:b], net["word"][c], net["word_bias"][c])
+        out[a:b] += logits[row[: b - a], within[a:b]] - np.log(total)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def gradients(net: dict, seq: np.ndarray, where: np.ndarray) -> dict[str, np.ndarray]:
+    """The gradient of the sum of -log_probabilities(net, seq, where)."""
+    classes, n = len(net["group_bias"]), len(seq) - 2 * REACH
+    every, full = hidden(net, seq)
+    unit = seq[where]
+    order, parts = by_class(unit // classes, classes)
+    place, unit = where[order] - REACH, unit[order]
+    h, row, ones = full[place], np.arange(len(order)), np.ones(len(order), full.dtype)
+    group, within = np.divmod(unit, classes)
+    _, p, total = exponentials(h, net["group"], net["group_bias"])
+    p /= total[:, None]
+    p[row, group] -= 1
+    grad = {"group": h.T @ p, "group_bias": ones @ p, "word": np.zeros_like(net["word"]), "word_bias": np.zeros_like(net["word_bias"])}
     dh = p @ net["group"].T
-    for c, rows in by_class(word, classes):
-        q = np.exp(soft(h[rows] @ net["word"][c] + net["word_bias"][c]))
-        q[np.arange(len(rows)), word[rows] % classes] -= 1
-        grad["word"][c], grad["word_bias"][c] = h[rows].T @ q, q.sum(0)
-        dh[rows] += q @ net["word"][c].T
-    dz = dh * (1 - h * h)
-    grad["bias"] = dz.sum(0)
-    for o in range(near.shape[1]):
-        e = net["embed"][near[:, o]]
-        grad["place"][o] = (dz * e).sum(0)
-        order = np.argsort(near[:, o], kind="stable")
-        key = near[order, o]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        grad["embed"][key[head]] += np.add.reduceat((dz * net["place"][o])[order], head, axis=0)
-    for k in net:
-        g = grad[k] / n
+    for c, a, b in parts:
+        some = h[a:b]
+        _, q, total = exponentials(some, net["word"][c], net["word_bias"][c])
+        q /= total[:, None]
+        q[row[: b - a], within[a:b]] -= 1
+        grad["word"][c], grad["word_bias"][c] = some.T @ q, ones[: b - a] @ q
+        dh[a:b] += q @ net["word"][c].T
+    dz = np.zeros_like(full)
+    dz[place] = dh * (1 - h * h)
+    grad["bias"], grad["place"] = np.ones(n, dz.dtype) @ dz, np.empty_like(net["place"])
+    back, part = np.zeros_like(every), np.empty_like(dz)
+    for k, o in enumerate(OFFSETS):
+        grad["place"][k] = np.einsum("ij,ij->j", dz, every[o : o + n])
+        back[o : o + n] += np.multiply(dz, net["place"][k], out=part)
+    order = np.argsort(seq.astype(packing(classes)), kind="stable")
+    key = seq[order]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    grad["embed"] = np.zeros_like(net["embed"])
+    grad["embed"][key[head]] = np.add.reduceat(back[order], head, axis=0)
+    return grad
+
+
+def keep_memory() -> None:
+    """Has the C library keep arrays of a few MB for the next step, where it is glibc; else each step pays for fresh pages."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(M_MMAP_THRESHOLD, 64 << 20)
+        mallopt(M_TRIM_THRESHOLD, 128 << 20)
+
+
+def train_step(net: dict, memory: dict, seq: np.ndarray, where: np.ndarray) -> None:
+    """One Adagrad step on the mean of a batch."""
+    grad = gradients(net, seq, where)
+    for k, g in grad.items():
+        g /= len(where)
         memory[k] += g * g
         net[k] -= RATE * g / (np.sqrt(memory[k]) + 1e-6)
 
 
-def gathered(batches, most_words: int = 400_000):
-    """rows, all words, and where each text starts, of a few texts at a time."""
+def gathered(batches, kind: np.dtype, most_words: int = 400_000):
+    """rows, all units, and where each text starts, of a few texts at a time."""
     for batch in batches:
         body = batch.column("words")
-        size = np.array([len(x.as_buffer()) // 4 for x in body], np.int64)
+        size = np.array([len(x.as_buffer()) // kind.itemsize for x in body], np.int64)
         part = np.cumsum(size) // most_words
         for p in np.unique(part):
             rows = np.flatnonzero(part == p)
             joined = b"".join(body[int(i)].as_py() for i in rows)
-            yield batch.take(pa.array(rows)), np.frombuffer(joined, np.uint32).astype(np.int64), np.r_[0, np.cumsum(size[rows])]
+            yield batch.take(pa.array(rows)), np.frombuffer(joined, kind).astype(np.int64), np.r_[0, np.cumsum(size[rows])]
+
+
+def pieces(where: np.ndarray, most: int):
+    """where in runs of `most` places, each with the part of the sequence (first, end) that its windows reach."""
+    for i in range(0, len(where), most):
+        some = where[i : i + most]
+        yield some, int(some[0]) - REACH, int(some[-1]) + REACH + 1
 
 
 def added(rows: pa.Table) -> pa.Table:
-    """The sums of one block of parameters."""
+    """The sums of some shards' values of one block of parameters."""
     total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("v"))
-    return pa.table([rows.column("i").slice(0, 1), pa.array([total.tobytes()], pa.binary()), pa.array([int(rows.column("w").to_numpy().sum())])], ["i", "v", "w"])
+    return pa.table([rows.column("i").slice(0, 1), rows.column("slot").slice(0, 1), pa.array([total.tobytes()], pa.binary()), pa.array([int(rows.column("w").to_numpy().sum())])], ["i", "slot", "v", "w"])
 
 
-def train(words: DataFrame, classes: int, rounds: int = ROUNDS, mask: int = MASK) -> dict:
-    """Rounds of local training and averaging: each task masks every mask-th position of all its texts (by a hash; other ones in each
-    round), steps through them from the shared parameters, and the tasks' parameters are averaged by their numbers of words."""
-    net = initial(classes)
+def train(words: DataFrame, classes: int, rounds: int = ROUNDS, shard: int = SHARD) -> dict:
+    """Rounds of local training and averaging. Documents are dealt to rounds and shards by a hash of id and content, and are sorted within
+    a shard, so the parameters don't hang on partitions. Each shard steps through all its words from the shared parameters; the shards'
+    parameters are averaged by their numbers of words, in whole numbers, FAN shards at a time."""
+    net, kind = initial(classes), packing(classes)
     shapes = {k: v.shape for k, v in net.items()}
+    total = words.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    shards = max(1, -(-total // (kind.itemsize * rounds * shard)))
+    dealt = words.select("doc_id", "words", F.xxhash64("doc_id", "words").alias("h"))
+    schema = "i long, slot long, v binary, w long"
     for r in range(rounds):
+        start = net
 
-        def run(batches, net=net, r=r):
-            own = {k: v.copy() for k, v in net.items()}
+        def fit(rows: pa.Table) -> pa.Table:  # runs before start changes: save() below is eager
+            keep_memory()
+            own = {k: v.copy() for k, v in start.items()}
             memory = {k: np.full(v.shape, 1e-3, np.float32) for k, v in own.items()}
-            seen, wait = 0, []
-            for _, flat, at in gathered(batches):
-                start, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
-                place = np.arange(len(flat), dtype=np.uint64)
-                chosen = np.flatnonzero(mix64(place + np.uint64(len(flat))) % np.uint64(mask) == np.uint64(r % mask))
-                if not len(chosen):
-                    continue
-                wait.append((surroundings(flat, end, start, chosen, classes**2), flat[chosen]))
-                near, word = (np.concatenate(x) for x in zip(*wait, strict=True))
-                mixed = np.argsort(mix64(np.arange(len(word), dtype=np.uint64)), kind="stable")
-                near, word = near[mixed], word[mixed]
-                full = len(word) // BATCH * BATCH
-                for i in range(0, full, BATCH):
-                    train_step(own, memory, near[i : i + BATCH], word[i : i + BATCH])
-                wait = [(near[full:], word[full:])]
-                seen += len(chosen)
-            if wait and len(wait[0][1]):
-                train_step(own, memory, *wait[0])
-            if seen:
-                weight = -(-seen // 1024)
-                flat = np.rint(np.concatenate([own[k].ravel() for k in shapes]).astype(np.float64) * FIXED).astype(np.int64) * weight
-                parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), weight))], ["i", "v", "w"])
-
-        total = save(words.select("words").mapInArrow(run, "i long, v binary, w long").groupBy("i").applyInArrow(added, "i long, v binary, w long"), f"parameters{r}")
-        rows = total.orderBy("i").collect()
+            rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+            seen = 0
+            for _, flat, at in gathered(rows.combine_chunks().to_batches(), kind, shard):
+                seq, where = sequence(flat, at, classes**2)
+                for some, a, b in pieces(where, BATCH):
+                    train_step(own, memory, seq[a:b], some - a)
+                seen += len(flat)
+            weight = -(-seen // 1024)
+            flat = np.rint(np.concatenate([own[k].ravel() for k in shapes]).astype(np.float64) * FIXED).astype(np.int64) * weight
+            parts = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)] if seen else []
+            slot = int(rows["shard"][0].as_py()) // FAN
+            return pa.table([pa.array(np.arange(len(parts))), pa.array(np.full(len(parts), slot)), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), weight))], ["i", "slot", "v", "w"])
+
+        chosen = dealt.where(F.pmod("h", F.lit(rounds)) == r).withColumn("shard", F.pmod(F.shiftright("h", 16), F.lit(shards)))
+        sums, left = chosen.groupBy("shard").applyInArrow(fit, schema), -(-shards // FAN)
+        sums = sums.groupBy("i", "slot").applyInArrow(added, schema)
+        while left > 1:
+            sums, left = save(sums, f"sums{r}-{left}"), -(-left // FAN)
+            sums = sums.withColumn("slot", F.expr(f"slot div {FAN}")).groupBy("i", "slot").applyInArrow(added, schema)
+        rows = save(sums, f"parameters{r}").orderBy("i").collect()
         if not rows:
-            return net
+            continue
         flat, at, fresh = np.concatenate([np.frombuffer(x["v"], np.int64) / x["w"] / FIXED for x in rows]).astype(np.float32), 0, {}
         for k, shape in shapes.items():
             fresh[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
@@ -256,14 +321,15 @@ def train(words: DataFrame, classes: int, rounds: int = ROUNDS, mask: int = MASK
 def score(words: DataFrame, net: dict) -> DataFrame:
     """doc_id, n_words, log_prob: the sum of the log-probabilities of all words, each given those around it."""
     pad = len(net["embed"]) - 1
+    kind = packing(len(net["group_bias"]))
 
     def run(batches):
-        for batch in batches:
-            for rows, flat, at in gathered([batch]):
-                start, end = np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:], np.diff(at))
-                parts = [log_probabilities(net, surroundings(flat, end, start, p, pad), flat[p]) for p in np.split(np.arange(len(flat)), range(32_768, len(flat), 32_768))] if len(flat) else [np.zeros(0)]
-                total = np.r_[0.0, np.cumsum(np.concatenate(parts).astype(np.float64))]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + rows.column("share").to_numpy())], ["doc_id", "n_words", "log_prob"])
+        keep_memory()
+        for rows, flat, at in gathered(batches, kind):
+            seq, where = sequence(flat, at, pad)
+            parts = [log_probabilities(net, seq[a:b], some - a) for some, a, b in pieces(where, 4 * BATCH)] or [np.zeros(0)]
+            total = np.r_[0.0, np.cumsum(np.concatenate(parts).astype(np.float64))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + rows.column("share").to_numpy())], ["doc_id", "n_words", "log_prob"])
 
     return words.mapInArrow(run, "doc_id long, n_words long, log_prob double")
 
@@ -271,10 +337,11 @@ def score(words: DataFrame, net: dict) -> DataFrame:
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores every whole text by its masked pseudo-likelihood: doc_id, n_words, log_prob (sum, rounded to 4 places), mean_log_prob.
 
-    The vocabulary counts and the training cover all documents. Rarer words share buckets; the probability of such a word is its bucket's
-    times the word's share of all occurrences in the bucket. Words and buckets grow with the square root of the distinct words.
-    Texts without words (null or empty) have log_prob 0 and a null mean. Rows with a null doc_id are left out; repeated rows are scored
-    each. An empty table gives an empty result.
+    The vocabulary counts cover all documents, and training predicts every word of them. Rarer words share buckets; the probability of
+    such a word is its bucket's times the word's share of all occurrences in the bucket. Words and buckets grow with the square root of
+    the distinct words. Texts without words (null or empty) have log_prob 0 and a null mean; texts are whole at any length. Rows with a
+    null doc_id are left out; rows that share a doc_id, equal or not, are scored each. Other columns are ignored. An empty table gives
+    an empty result.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = save(cut(docs), "runs")

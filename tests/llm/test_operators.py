@@ -186,6 +186,56 @@ def test_scores_both_sides(spark, docs, empty):
     assert got[0].n_words == 240 and scoring.score_documents(docs).count() == len(TEXTS) and scoring.score_documents(empty).count() == 0
 
 
+def small_net(seed=3):
+    rng = np.random.default_rng(seed)
+    return {k: rng.normal(size=v.shape) * 0.3 for k, v in scoring.initial(3).items()}
+
+
+def brute_log_probability(net, words, i):
+    """Of word i of a text, by definition."""
+    pad, reach = len(net["embed"]) - 1, scoring.REACH
+    total, k = net["bias"].copy(), 0
+    for o in range(-reach, reach + 1):
+        if o:
+            total += net["embed"][words[i + o] if 0 <= i + o < len(words) else pad] * net["place"][k]
+            k += 1
+    h = np.tanh(total)
+    a, b = h @ net["group"] + net["group_bias"], h @ net["word"][words[i] // 3] + net["word_bias"][words[i] // 3]
+    return a[words[i] // 3] - np.log(np.exp(a).sum()) + b[words[i] % 3] - np.log(np.exp(b).sum())
+
+
+def test_log_probabilities_by_definition():
+    net, rng = small_net(), np.random.default_rng(4)
+    parts = [rng.integers(0, 9, n) for n in (5, 0, 1, 30)]
+    at = np.r_[0, np.cumsum([len(x) for x in parts])]
+    seq, where = scoring.sequence(np.concatenate(parts), at, 9)
+    got = np.concatenate([scoring.log_probabilities(net, seq[a:b], some - a) for some, a, b in scoring.pieces(where, 7)])
+    want = [brute_log_probability(net, x.tolist(), i) for x in parts for i in range(len(x))]
+    assert np.allclose(got, want)
+    assert np.isclose(sum(np.exp(brute_log_probability(net, [1, w, 2], 1)) for w in range(9)), 1)
+
+
+def test_gradients_by_differences():
+    net, rng = small_net(), np.random.default_rng(6)
+    seq, where = scoring.sequence(rng.integers(0, 9, 25), np.array([0, 10, 25]), 9)
+    grad, step = scoring.gradients(net, seq, where), 1e-5
+    for k, v in net.items():
+        for at in rng.choice(v.size, min(v.size, 12), replace=False):
+            old, loss = v.flat[at], []
+            for d in (step, -step):
+                v.flat[at] = old + d
+                loss.append(-scoring.log_probabilities(net, seq, where).sum())
+            v.flat[at] = old
+            assert np.isclose(grad[k].flat[at], (loss[0] - loss[1]) / (2 * step), atol=1e-5), (k, at)
+
+
+def test_scores_hang_on_no_partitioning(spark):
+    rows = [(i % 90, " ".join(np.random.default_rng(i).choice(WORDS[:60], 150))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.log_prob) for r in scoring.score_documents(df.repartition(n)).collect()) for n in (1, 8)]
+    assert [x[0] for x in got[0]] == [x[0] for x in got[1]] and np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], atol=1e-2)
+
+
 def brute_windows(texts, n):
     first, out = {}, {}
     for i in sorted(texts):
