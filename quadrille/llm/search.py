@@ -15,7 +15,7 @@ PIVOT_SAMPLE = 2000
 CANDIDATES, BLOCK, QUERY_BLOCK = 8192, 512, 2048
 #: In a block, candidates are evaluated in bound order in steps: so many a query, then so many, then the rest.
 STEPS = (16, 112)
-#: Where more than this share of a step's pairs is open, they are multiplied as matrices.
+#: Where more than this share of what is left of a block is open, it is multiplied as matrices.
 DENSE = 0.25
 
 
@@ -149,23 +149,26 @@ def search_block(pivots: Pivots, x: np.ndarray, ids: np.ndarray, q: np.ndarray,
     order = np.argsort(-bound, axis=0, kind="stable")
     cuts = [0, *[c for c in np.cumsum(STEPS) if c < len(x)], len(x)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        some = order[a:b]
-        open_ = np.take_along_axis(bound, some, 0) >= best.least[live]
-        if not open_.any():
+        rest = np.take_along_axis(bound, order[a:], 0) >= best.least[live]
+        if not rest.any():
             break
-        row, col = some[open_], np.nonzero(open_)[1]
-        if open_.mean() > DENSE and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**53:
+        dense = rest.mean() > DENSE and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**53
+        open_ = rest if dense else rest[: b - a]
+        row, col = order[a : a + len(open_)][open_], np.nonzero(open_)[1]
+        if dense:
             asked = np.unique(col)
             score = np.rint(x @ q[live[asked]].T).astype(np.int64)[row, np.searchsorted(asked, col)]
             scored += len(x) * len(asked)
         else:
-            score = np.concatenate([exact_scores(x[row[i : i + 65_536]], q[live[col[i : i + 65_536]]]) for i in range(0, len(row), 65_536)])
+            score = np.concatenate([exact_scores(x[row[i : i + 65_536]], q[live[col[i : i + 65_536]]]) for i in range(0, max(1, len(row)), 65_536)])
             scored += len(row)
         good = np.flatnonzero(score >= best.least[live[col]])
         row, query = row[good], live[col[good]]
         same = ids[row] == query_ids[query]
         same[same] = (x[row[same]] == q[query[same]]).all(1)
         best.add(query, ids[row], score[good], same.astype(np.int64))
+        if dense:
+            break
     return scored
 
 
