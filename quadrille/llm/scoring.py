@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from .kernels import signed, texts
 from .workspace import save
 
-#: The least word classes, and the share of the units that are buckets of all rarer words.
-CLASSES, OTHER = 32, 16
+#: Units are the leaves of a tree of DEPTH levels; CLASSES: children of a node at least. One unit in OTHER is a bucket of rarer words.
+CLASSES, DEPTH, OTHER = 32, 2, 16
 REACH, WIDTH = 4, 24
 #: Rounds deal all documents among themselves, so every word is predicted once in training. SHARD: words that one task trains on, about.
-ROUNDS, SHARD = 2, 1_000_000
-RATE, BATCH = 0.15, 4096
+ROUNDS, SHARD = 2, 2_000_000
+#: BATCH: words of a step for each node of the lowest level.
+RATE, BATCH = 0.15, 128
 #: Parameter blocks of so many shards are added up by one task.
 FAN = 64
 #: Fixed values of glibc's malloc.h.
@@ -30,13 +31,13 @@ FIXED, BLOCK = 1 << 20, 8192
 
 
 def word_classes(distinct: int) -> int:
-    """Classes, and units of a class: the units grow with the square root of the distinct words."""
-    return max(CLASSES, math.ceil(2 * distinct**0.25))
+    """Children of a node: the units, classes**DEPTH, grow with the square root of the distinct words."""
+    return max(CLASSES, math.ceil((4 * distinct**0.5) ** (1 / DEPTH)))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The units that the network predicts: the most frequent words, one each, and after them hash buckets of all other words."""
+    """The units that the network predicts: the most frequent words in order, one each, and after them hash buckets of all other words."""
 
     classes: int
     #: hashes of the frequent words in order, and their units
@@ -50,7 +51,7 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         own = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         bucket = hashes % len(self.totals)
-        unit = self.classes**2 - len(self.totals) + bucket
+        unit = self.classes**DEPTH - len(self.totals) + bucket
         unit[own] = self.units[at[own]]
         share = np.zeros(len(hashes))
         share[~own] = np.log(n[~own] / self.totals[bucket[~own]])
@@ -66,7 +67,7 @@ def cut(docs: DataFrame) -> DataFrame:
         many = pa.list_(pa.int64())
         for batch in batches:
             ids = batch.column("doc_id")
-            for at, to, t in texts(batch.column("text")):
+            for at, to, t in texts(batch.column("text"), 8 << 20):
                 listed, words, n = np.unique(t.hashes(lower=True).view(np.int64), return_inverse=True, return_counts=True)
                 one = lambda x: pa.array([x], many)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(ids.slice(at, to - at).to_pylist()), one(t.count), pa.array([words.astype(np.uint32).tobytes()], pa.binary()), empty(1, pa.int64()), empty(1, pa.int64())], NAMES)
@@ -91,8 +92,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """Words and buckets in numbers that grow with the distinct words, dealt to classes by frequency."""
     words = counts.where("first")
     classes = word_classes(words.count())
-    other = classes**2 // OTHER
-    top = [tuple(r) for r in words.orderBy(F.desc("n"), "hash").limit(classes**2 - other).select("hash", "n").collect()]
+    other = classes**DEPTH // OTHER
+    top = [tuple(r) for r in words.orderBy(F.desc("n"), "hash").limit(classes**DEPTH - other).select("hash", "n").collect()]
     hashes, n = np.array(top, np.int64).reshape(-1, 2).T
     totals = np.zeros(other, np.int64)
     for bucket, total in words.groupBy(F.expr(f"pmod(hash, {other})")).agg(F.sum("n")).collect():
@@ -125,14 +126,15 @@ def initial(classes: int, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     return {
-        "embed": draw(classes**2 + 1, WIDTH), "place": np.ones((2 * REACH, WIDTH), np.float32) / 2, "bias": np.zeros(WIDTH, np.float32),
-        "group": draw(WIDTH, classes) * 0.1, "group_bias": np.zeros(classes, np.float32), "word": draw(classes, WIDTH, classes) * 0.1, "word_bias": np.zeros((classes, classes), np.float32),
+        "embed": draw(classes**DEPTH + 1, WIDTH), "place": np.ones((2 * REACH, WIDTH), np.float32) / 2, "bias": np.zeros(WIDTH, np.float32),
+        # The weights of each node of a level; their last row is the bias.
+        **{f"level{d}": draw(classes**d, WIDTH + 1, classes) * 0.1 for d in range(DEPTH)},
     }
 
 
 def packing(classes: int) -> np.dtype:
     """How units are packed."""
-    return np.dtype("<u2" if classes**2 < 1 << 16 else "<u4")
+    return np.dtype("<u2" if classes**DEPTH < 1 << 16 else "<u4")
 
 
 def sequence(units: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,50 +146,52 @@ def sequence(units: np.ndarray, at: np.ndarray, pad: int) -> tuple[np.ndarray, n
 
 
 def hidden(net: dict, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The embeddings of a sequence, and the hidden state of each place but the first and last REACH, from the REACH places on both sides."""
+    """The embeddings of a sequence, and the hidden state of each place but the first and last REACH, from the REACH places on both sides;
+    its last component is 1."""
     every, n = net["embed"][seq], len(seq) - 2 * REACH
     total, part = np.repeat(net["bias"][None, :], n, axis=0), np.empty((n, every.shape[1]), every.dtype)
     for k, o in enumerate(OFFSETS):
         total += np.multiply(every[o : o + n], net["place"][k], out=part)
-    return every, np.tanh(total, out=total)
+    out = np.ones((n, every.shape[1] + 1), every.dtype)
+    np.tanh(total, out=out[:, :-1])
+    return every, out
 
 
 OFFSETS = [o for o in range(2 * REACH + 1) if o != REACH]
 
 
-def exponentials(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the logits h @ weight + bias: themselves, their exponentials and those' sums, all up to a factor where they are large.
-
-    h is a tanh, so the weights bound the logits, and only large ones need their greatest taken off.
-    """
+def exponentials(h: np.ndarray, weight: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the logits h @ weight: themselves, their exponentials and those' sums, all up to a factor unless they are small."""
     logits = h @ weight
-    logits += bias
-    if np.abs(weight).sum(0).max(initial=0) + np.abs(bias).max(initial=0) > 60:
+    if not small:
         logits -= logits.max(axis=1, keepdims=True)
     out = np.exp(logits)
-    return logits, out, out.sum(axis=1)
+    return logits, out, out @ np.ones(out.shape[1], out.dtype)
+
+
+def small(net: dict) -> bool:
+    """h is a tanh, and so the weights bound the logits; below 60, their exponentials fit."""
+    return max(np.abs(net[f"level{d}"]).sum(1).max() for d in range(DEPTH)) < 60
 
 
-def by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order by class, and (class, first, end) of the classes in that order."""
-    order = np.argsort(group.astype(np.uint16) if classes < 1 << 16 else group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(classes + 1))
-    return order, [(int(c), int(cuts[c]), int(cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts))]
+def nodes(unit: np.ndarray, classes: int):
+    """Of sorted units: (level, node, first, end, child of each) for every node that some of them pass."""
+    for d in range(DEPTH):
+        node, child = np.divmod(unit // classes ** (DEPTH - 1 - d), classes)
+        head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
+        for a, b, n in zip(head.tolist(), [*head[1:].tolist(), len(node)], node[head].tolist(), strict=True):
+            yield f"level{d}", n, a, b, child[a:b]
 
 
 def log_probabilities(net: dict, seq: np.ndarray, where: np.ndarray) -> np.ndarray:
     """The log-probability of each unit at `where` in a sequence, given those on both sides."""
-    classes = len(net["group_bias"])
-    h, unit = hidden(net, seq)[1][where - REACH], seq[where]
-    order, parts = by_class(unit // classes, classes)
-    h, unit = h[order], unit[order]
-    row = np.arange(len(unit))
-    group, within = np.divmod(unit, classes)
-    logits, _, total = exponentials(h, net["group"], net["group_bias"])
-    out = logits[row, group] - np.log(total)
-    for c, a, b in parts:
-        logits, _, total = exponentials(h[a:b], net["word"][c], net["word_bias"][c])
-        out[a:b] += logits[row[: b - a], within[a:b]] - np.log(total)
+    classes, fits = net["level0"].shape[-1], small(net)
+    order = np.argsort(seq[where].astype(packing(classes)), kind="stable")
+    h, unit, row = hidden(net, seq)[1][where[order] - REACH], seq[where[order]], np.arange(len(where))
+    out = np.zeros(len(unit), h.dtype)
+    for level, n, a, b, child in nodes(unit, classes):
+        logits, _, total = exponentials(h[a:b], net[level][n], fits)
+        out[a:b] += logits[row[: b - a], child] - np.log(total)
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -195,27 +199,21 @@ def log_probabilities(net: dict, seq: np.ndarray, where: np.ndarray) -> np.ndarr
 
 def gradients(net: dict, seq: np.ndarray, where: np.ndarray) -> dict[str, np.ndarray]:
     """The gradient of the sum of -log_probabilities(net, seq, where)."""
-    classes, n = len(net["group_bias"]), len(seq) - 2 * REACH
+    classes, n, fits = net["level0"].shape[-1], len(seq) - 2 * REACH, small(net)
     every, full = hidden(net, seq)
-    unit = seq[where]
-    order, parts = by_class(unit // classes, classes)
-    place, unit = where[order] - REACH, unit[order]
-    h, row, ones = full[place], np.arange(len(order)), np.ones(len(order), full.dtype)
-    group, within = np.divmod(unit, classes)
-    _, p, total = exponentials(h, net["group"], net["group_bias"])
-    p /= total[:, None]
-    p[row, group] -= 1
-    grad = {"group": h.T @ p, "group_bias": ones @ p, "word": np.zeros_like(net["word"]), "word_bias": np.zeros_like(net["word_bias"])}
-    dh = p @ net["group"].T
-    for c, a, b in parts:
+    order = np.argsort(seq[where].astype(packing(classes)), kind="stable")
+    place, unit, row = where[order] - REACH, seq[where[order]], np.arange(len(order))
+    h = full[place]
+    dh, grad = np.zeros_like(h), {f"level{d}": np.zeros_like(net[f"level{d}"]) for d in range(DEPTH)}
+    for level, k, a, b, child in nodes(unit, classes):
         some = h[a:b]
-        _, q, total = exponentials(some, net["word"][c], net["word_bias"][c])
-        q /= total[:, None]
-        q[row[: b - a], within[a:b]] -= 1
-        grad["word"][c], grad["word_bias"][c] = some.T @ q, ones[: b - a] @ q
-        dh[a:b] += q @ net["word"][c].T
-    dz = np.zeros_like(full)
-    dz[place] = dh * (1 - h * h)
+        _, p, total = exponentials(some, net[level][k], fits)
+        p /= total[:, None]
+        p[row[: b - a], child] -= 1
+        grad[level][k] = some.T @ p
+        dh[a:b] += p @ net[level][k].T
+    dz = np.zeros((n, h.shape[1] - 1), h.dtype)
+    dz[place] = (dh * (1 - h * h))[:, :-1]
     grad["bias"], grad["place"] = np.ones(n, dz.dtype) @ dz, np.empty_like(net["place"])
     back, part = np.zeros_like(every), np.empty_like(dz)
     for k, o in enumerate(OFFSETS):
@@ -291,8 +289,8 @@ def train(words: DataFrame, classes: int, rounds: int = ROUNDS, shard: int = SHA
             rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending")])
             seen = 0
             for _, flat, at in gathered(rows.combine_chunks().to_batches(), kind, shard):
-                seq, where = sequence(flat, at, classes**2)
-                for some, a, b in pieces(where, BATCH):
+                seq, where = sequence(flat, at, classes**DEPTH)
+                for some, a, b in pieces(where, BATCH * classes ** (DEPTH - 1)):
                     train_step(own, memory, seq[a:b], some - a)
                 seen += len(flat)
             weight = -(-seen // 1024)
@@ -320,14 +318,14 @@ def train(words: DataFrame, classes: int, rounds: int = ROUNDS, shard: int = SHA
 
 def score(words: DataFrame, net: dict) -> DataFrame:
     """doc_id, n_words, log_prob: the sum of the log-probabilities of all words, each given those around it."""
-    pad = len(net["embed"]) - 1
-    kind = packing(len(net["group_bias"]))
+    pad, classes = len(net["embed"]) - 1, net["level0"].shape[-1]
+    kind = packing(classes)
 
     def run(batches):
         keep_memory()
         for rows, flat, at in gathered(batches, kind):
             seq, where = sequence(flat, at, pad)
-            parts = [log_probabilities(net, seq[a:b], some - a) for some, a, b in pieces(where, 4 * BATCH)] or [np.zeros(0)]
+            parts = [log_probabilities(net, seq[a:b], some - a) for some, a, b in pieces(where, 2 * BATCH * classes ** (DEPTH - 1))] or [np.zeros(0)]
             total = np.r_[0.0, np.cumsum(np.concatenate(parts).astype(np.float64))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]] + rows.column("share").to_numpy())], ["doc_id", "n_words", "log_prob"])
 

@@ -199,9 +199,11 @@ def brute_log_probability(net, words, i):
         if o:
             total += net["embed"][words[i + o] if 0 <= i + o < len(words) else pad] * net["place"][k]
             k += 1
-    h = np.tanh(total)
-    a, b = h @ net["group"] + net["group_bias"], h @ net["word"][words[i] // 3] + net["word_bias"][words[i] // 3]
-    return a[words[i] // 3] - np.log(np.exp(a).sum()) + b[words[i] % 3] - np.log(np.exp(b).sum())
+    h, out = np.r_[np.tanh(total), 1], 0.0
+    for d, (node, child) in enumerate([(0, words[i] // 3), (words[i] // 3, words[i] % 3)]):
+        logits = h @ net[f"level{d}"][node]
+        out += logits[child] - np.log(np.exp(logits).sum())
+    return out
 
 
 def test_log_probabilities_by_definition():
@@ -213,6 +215,8 @@ def test_log_probabilities_by_definition():
     want = [brute_log_probability(net, x.tolist(), i) for x in parts for i in range(len(x))]
     assert np.allclose(got, want)
     assert np.isclose(sum(np.exp(brute_log_probability(net, [1, w, 2], 1)) for w in range(9)), 1)
+    large = net | {"level1": net["level1"] * 100}
+    assert not scoring.small(large) and np.allclose(scoring.log_probabilities(large, seq, where)[:5], [brute_log_probability(large, parts[0].tolist(), i) for i in range(5)])
 
 
 def test_gradients_by_differences():

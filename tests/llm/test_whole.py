@@ -20,9 +20,9 @@ def test_rare_words_take_their_share_of_a_bucket(spark):
     got = {r.doc_id: r.log_prob for r in scoring.score_documents(df).collect()}
     by_word = {w: got[i] for i, w in enumerate(names)}
     classes = scoring.word_classes(2404)
-    other = classes**2 // scoring.OTHER
+    other = classes**scoring.DEPTH // scoring.OTHER
     h = dict(zip(often, hashes(often).tolist(), strict=True))
-    head = set(sorted(often, key=lambda w: (-often[w], h[w]))[: classes**2 - other - 4])  # after the 4 words of all texts
+    head = set(sorted(often, key=lambda w: (-often[w], h[w]))[: classes**scoring.DEPTH - other - 4])  # after the 4 words of all texts
     buckets = defaultdict(list)
     for w in often:
         if w not in head:
@@ -46,4 +46,4 @@ def test_shares_sum_to_one(spark):
     assert len(rows) == len(set(words)) and rows[:, 1].sum() == len(words)
     unit, share = known.settle(rows[:, 0], rows[:, 1])
     total = np.bincount(unit, weights=np.exp(share))
-    assert np.allclose(total[total > 0], 1) and unit.max() < known.classes**2
+    assert np.allclose(total[total > 0], 1) and unit.max() < known.classes**scoring.DEPTH
