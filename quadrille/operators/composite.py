@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ComputeError, InvalidGraph
@@ -69,12 +69,13 @@ def anchor(items: DataFrame) -> DataFrame:
 
 
 def usable(items: DataFrame, counts: list[int] | None = None) -> DataFrame:
-    """Items that state a CRS and the anchor's band counts, once for each first href."""
+    """Items that state a CRS and the anchor's band counts; of those with one first href the newest (ties: the least item_id)."""
     out = items.where("epsg <> 0")
     if counts is not None:
         want = F.array(*[F.lit(c) for c in counts])
         out = out.where(F.forall(F.arrays_zip("counts", want.alias("want")), lambda x: x["counts"].isNull() | (x["counts"] == x["want"])))
-    return out.dropDuplicates(["hrefs"])
+    newest = Window.partitionBy(F.col("hrefs")[0]).orderBy(F.desc("datetime"), "item_id")
+    return out.withColumn("turn", F.row_number().over(newest)).where("turn = 1").drop("turn")
 
 
 def stack_assets(parts: list[DataFrame]) -> DataFrame:

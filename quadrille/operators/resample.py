@@ -21,22 +21,27 @@ def output_cells(spark, grid: Grid, box: Bbox, level: int = 0) -> DataFrame:
 def sample(cells: DataFrame, source: Grid, wanted: DataFrame, x: Column, y: Column, level: int = 0) -> DataFrame:
     """gx, gy of wanted, with the bands of cells at the source position (x, y): the weighted sum of four taps where all are finite,
     else the heaviest tap that is (ties: the later of top left, top right, bottom left, bottom right), else nodata."""
-    names, r = bands(cells.columns), source.resolution(level)
-    u, v = (x - source.x0) / r - 0.5, (source.y0 - y) / r - 0.5
-    placed = wanted.select("gx", "gy", u.alias("u"), v.alias("v")).withColumn("x0", F.floor("u")).withColumn("y0", F.floor("v"))
+    r = source.resolution(level)
+    return four_taps(cells, wanted, (x - source.x0) / r - 0.5, (source.y0 - y) / r - 0.5)
+
+
+def four_taps(cells: DataFrame, wanted: DataFrame, u: Column, v: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """sample() at fractional source pixels (u, v); keys: columns of both by which rasters of one table are told apart."""
+    names = bands(cells.columns)
+    placed = wanted.select(*keys, "gx", "gy", u.alias("u"), v.alias("v")).withColumn("x0", F.floor("u")).withColumn("y0", F.floor("v"))
     fx, fy = F.col("u") - F.col("x0"), F.col("v") - F.col("y0")
     tap = lambda k, dx, dy, w: F.struct(F.lit(k).alias("k"), (F.col("x0") + dx).alias("sx"), (F.col("y0") + dy).alias("sy"), w.alias("w"))
     taps = F.array(tap(0, 0, 0, (1 - fx) * (1 - fy)), tap(1, 1, 0, fx * (1 - fy)), tap(2, 0, 1, (1 - fx) * fy), tap(3, 1, 1, fx * fy))
-    asked = placed.select("gx", "gy", F.explode(taps).alias("t")).select("gx", "gy", "t.k", "t.sx", "t.sy", "t.w")
-    values = cells.select(F.col("gx").alias("sx"), F.col("gy").alias("sy"), *[finite(F.col(c)).alias(c) for c in names])
-    met = asked.join(values, ["sx", "sy"])
+    asked = placed.select(*keys, "gx", "gy", F.explode(taps).alias("t")).select(*keys, "gx", "gy", "t.k", "t.sx", "t.sy", "t.w")
+    values = cells.select(*keys, F.col("gx").alias("sx"), F.col("gy").alias("sy"), *[finite(F.col(c)).alias(c) for c in names])
+    met = asked.join(values, [*keys, "sx", "sy"])
 
     def blend(c: str) -> Column:
         part = [F.max(F.when(F.col("k") == i, F.col("w") * F.col(c))) for i in range(4)]
         heaviest = F.max_by(c, F.when(F.col(c).isNotNull() & (F.col("w") > LEAST_WEIGHT), F.struct("w", "k")))
         return F.when(F.count(c) == 4, part[0] + part[1] + part[2] + part[3]).otherwise(heaviest).alias(c)
 
-    return met.groupBy("gx", "gy").agg(*[blend(c) for c in names])
+    return met.groupBy(*keys, "gx", "gy").agg(*[blend(c) for c in names])
 
 
 def resample(cells: DataFrame, source: Grid, target: Grid, box: Bbox) -> DataFrame:

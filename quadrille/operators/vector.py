@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
@@ -44,20 +44,43 @@ def map_geometry(features: DataFrame, f) -> DataFrame:
 
 
 def from_geojson(text: DataFrame) -> DataFrame:
-    """Features of FeatureCollections in a `value` column, ids 0.. in order over those that have a geometry."""
+    """Features of FeatureCollections in a `value` column, ids 0.. over those that have a geometry: in their order within a collection,
+    and collections in the order of `path` (or of their text, where there is no such column). Only one row a collection is ordered."""
     feature = "struct<geometry: string, properties: map<string, string>>"
-    rows = text.select(F.posexplode(F.from_json("value", f"struct<features: array<{feature}>>")["features"]).alias("at", "f")).where("f.geometry is not null")
-    # Ids are dense and in file order; one file is one document, so its features are numbered where they were parsed.
-    placed = rows.select("at", F.col("f.geometry").alias("raw"), F.col("f.properties").alias("properties")).orderBy("at")
+    found = F.filter(F.from_json("value", f"struct<features: array<{feature}>>")["features"], lambda f: f["geometry"].isNotNull())
+    key = F.col("path") if "path" in text.columns else F.sha2("value", 256)
+    held = text.select(key.alias("file"), found.alias("found")).where(F.size("found") > 0)
+    # Equal collections without a path share a key and then take turns.
+    counts = held.groupBy("file").agg(F.count("*").alias("copies"), F.max(F.size("found")).alias("n"))
+    first = F.coalesce(F.sum(F.col("copies") * F.col("n")).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy("file").orderBy(F.lit(0))) - 1
+    numbered = held.withColumn("turn", turn).join(counts.select("file", "n", first.alias("first")), "file")
+    rows = numbered.select((F.col("first") + F.col("turn") * F.col("n")).alias("base"), F.posexplode("found").alias("at", "f"))
+    placed = rows.select((F.col("base") + F.col("at")).cast("long").alias("id"), F.col("f.geometry").alias("raw"), F.col("f.properties").alias("properties"))
 
     def run(batches):
-        n = 0
         for batch in batches:
             geoms = [json.dumps(parse_geojson(json.loads(x))) for x in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(geoms)), pa.int64()), pa.array(geoms, pa.string()), batch.column("properties")], ["id", "geometry", "properties"])
-            n += len(geoms)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(geoms, pa.string()), batch.column("properties")], ["id", "geometry", "properties"])
 
-    return placed.select("raw", "properties").coalesce(1).mapInArrow(run, "id long, geometry string, properties map<string, string>")
+    return placed.mapInArrow(run, "id long, geometry string, properties map<string, string>")
+
+
+def measures(features: DataFrame) -> DataFrame:
+    """id, area, envelope and number of positions of each geometry."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
+                g = _geometry(text)
+                rows.append((i, float(G.area(g)), *map(float, G.envelope(g)), len(list(G.coordinates(g)))))
+            names = ["id", "area", "min_x", "min_y", "max_x", "max_y", "positions"]
+            kinds = [pa.int64(), *[pa.float64()] * 5, pa.int64()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return features.select("id", "geometry").mapInArrow(run, "id long, area double, min_x double, min_y double, max_x double, max_y double, positions long")
 
 
 def parse_geojson(g: dict):
@@ -158,15 +181,26 @@ def simplify(features: DataFrame, resolution: float) -> DataFrame:
     return map_geometry(features, lambda g, _: G.simplify(g, resolution))
 
 
-def reproject(features: DataFrame, source: int, target: int) -> DataFrame:
-    """Every vertex projected; edges stay straight."""
+def reproject(features: DataFrame, source: int, target: int, box: Bbox | None = None) -> DataFrame:
+    """Every vertex projected; edges stay straight. box: a window in the target's CRS, to which the result is clipped."""
     f = crs.transform(source, target)
 
     def move(g):
         kind, parts = g
         return kind, [move(p) for p in parts] if kind == "GeometryCollection" else [[[f(*c) for c in line] for line in part] for part in parts]
 
-    return map_geometry(features, lambda g, _: move(g))
+    edges = box and (box.min_x, box.min_y, box.max_x, box.max_y)
+    return map_geometry(features, lambda g, _: G.clip(move(g), edges) if edges else move(g))
+
+
+def crop(features: DataFrame, box: Bbox) -> DataFrame:
+    """The parts of features within a window."""
+    return map_geometry(features, lambda g, _: G.clip(g, (box.min_x, box.min_y, box.max_x, box.max_y)))
+
+
+def fragments_in_order(fragments: DataFrame) -> DataFrame:
+    """Fragments by feature, and within a feature by tile."""
+    return fragments.orderBy("id", "iy", "ix")
 
 
 def dissolve(fragments: DataFrame) -> DataFrame:

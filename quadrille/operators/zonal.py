@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import PullTooLarge
 from ..functions.grid import Grid
 from ..functions.nodata import no_nan
 from ..functions.time import epoch_ms
 
-#: Zones are a request: beyond this many, zone tiles are joined by shuffle and not broadcast.
-MOST_BROADCAST = 10_000
+#: Zones are a request: beyond this many zone tiles, tiles are joined by shuffle and not broadcast. Steps of a series at most.
+MOST_BROADCAST, MOST_STEPS = 10_000, 64
 
 
 def statistics(band: str = "b0") -> list[Column]:
@@ -48,19 +49,24 @@ def zone_tiles(zones: DataFrame, grid: Grid, level: int = 0) -> DataFrame:
 def burn(cells: DataFrame, zones: DataFrame, grid: Grid, level: int = 0, broadcast: bool | None = None) -> DataFrame:
     """gx, gy, zone_id and the bands of every pixel whose centre a zone covers. zones: ord, id, min_x, min_y, max_x, max_y[, rings].
 
-    rings: array of rings (arrays of x, y) under the even-odd rule; without it zones are rectangles, half-open like pixels.
+    rings: array of rings (arrays of x, y) under the even-odd rule; without it zones are rectangles, half-open like pixels. The zones of a
+    tile are one row, last first, and a pixel takes the first of them that covers it, so no pixel is shuffled where tiles are broadcast.
     """
     x, y = grid.centre(F.col("gx"), F.col("gy"), level)
     placed = cells.withColumn("ix", F.floor(F.col("gx") / grid.chunk)).withColumn("iy", F.floor(F.col("gy") / grid.chunk)).withColumn("x", x).withColumn("y", y)
     tiles = zone_tiles(zones, grid, level)
     if broadcast is None:
-        broadcast = zones.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        broadcast = tiles.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    facts = ["ord", "id", "min_x", "min_y", "max_x", "max_y", *(["rings"] if "rings" in zones.columns else [])]
+    tiles = tiles.groupBy("ix", "iy").agg(F.sort_array(F.collect_list(F.struct(*facts)), asc=False).alias("zones"))
+
+    def covers(z):
+        hit = (F.col("x") >= z["min_x"]) & (F.col("x") < z["max_x"]) & (F.col("y") > z["min_y"]) & (F.col("y") <= z["max_y"])
+        return hit & F.aggregate(z["rings"], F.lit(False), lambda s, r: s != inside_ring(F.col("x"), F.col("y"), r)) if "rings" in facts else hit
+
     joined = placed.join(F.broadcast(tiles) if broadcast else tiles, ["ix", "iy"])
-    hit = (F.col("x") >= F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("y") > F.col("min_y")) & (F.col("y") <= F.col("max_y"))
-    if "rings" in zones.columns:
-        odd = F.aggregate("rings", F.lit(False), lambda s, r: s != inside_ring(F.col("x"), F.col("y"), r))
-        hit = hit & odd
-    return joined.where(hit).groupBy("gx", "gy").agg(F.max_by("id", "ord").alias("zone_id"), *[F.first(c).alias(c) for c in cells.columns if c not in ("gx", "gy", "ix", "iy")])
+    zone = F.get(F.filter("zones", covers), 0)["id"]
+    return joined.select("gx", "gy", zone.alias("zone_id"), *[c for c in cells.columns if c not in ("gx", "gy", "ix", "iy")]).where("zone_id is not null")
 
 
 def zonal_statistics(cells: DataFrame, zones: DataFrame, grid: Grid, level: int = 0) -> DataFrame:
@@ -75,7 +81,9 @@ def with_empty_zones(found: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def at_steps(stack: DataFrame, steps: DataFrame) -> DataFrame:
-    """Items of a stack once for each step (ord, start_ms, end_ms) that holds them. Steps are a request of at most 64 rows."""
+    """Items of a stack once for each step (ord, start_ms, end_ms) that holds them. Steps are a request of at most MOST_STEPS rows."""
+    if steps.limit(MOST_STEPS + 1).count() > MOST_STEPS:
+        raise PullTooLarge(f"a series takes at most {MOST_STEPS} steps")
     ms = epoch_ms(F.col("datetime"))
     bounded = steps.select(F.col("ord").alias("step"), "start_ms", "end_ms")
     return stack.join(F.broadcast(bounded), (ms >= F.col("start_ms")) & (ms < F.col("end_ms"))).drop("start_ms", "end_ms")

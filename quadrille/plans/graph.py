@@ -12,19 +12,10 @@ from ..errors import EmptyLink, InvalidGraph, KindError
 from ..functions import crs
 from ..functions.grid import Bbox, Grid, Window
 from ..operators import composite, raster, resample
+from ..streaming.live import Invalidation
 from .caps import Choice, Format, Settled, link, one_of, through
 
 
-@dataclass
-class Layer:
-    """Cells with what a schema can't carry."""
-
-    cells: Callable[[Window, int], DataFrame]
-    grid: Grid
-    caps: Settled
-    time_varying: bool = False
-
-
 @dataclass
 class Source:
     """cells: base cells with gx, gy, b0..; with a stack (datetime) it varies in time and is composed per pull."""
@@ -34,6 +25,7 @@ class Source:
     formats: list[Format]
     time_varying: bool = False
     composite: str = "latest"
+    percentile: float | None = None
 
 
 @dataclass
@@ -137,6 +129,7 @@ class Engine:
     def __init__(self, plan, caps: list[Settled], place: dict[int, int]):
         self.plan, self._caps, self.place = plan, caps, place
         self.grids: list[Grid] = []
+        self.told: list[Callable[[Invalidation], None]] = []
         self.varying: list[bool] = []
         for i, (node, parents) in enumerate(plan):
             self.varying.append(getattr(node, "time_varying", False) or any(self.varying[p] for p in parents))
@@ -156,6 +149,29 @@ class Engine:
     def grid(self, node: int) -> Grid:
         return self.grids[self.place[node]]
 
+    def subscribe(self, told: Callable[[Invalidation], None]) -> None:
+        """told is called with every node that a dirty window reaches."""
+        self.told.append(told)
+
+    def invalidate(self, node: int, box: Bbox) -> list[Invalidation]:
+        """The dirty window of each node that depends on a changed window, in order from the changed node: a reprojection turns it into
+        its CRS, a halo widens it, and at a fan-in the windows of the inputs are united."""
+        at = {i: n for n, i in self.place.items()}
+        dirty: dict[int, Bbox] = {self.place[node]: box}
+        for i, (step, parents) in enumerate(self.plan):
+            reached = [dirty[p] for p in parents if p in dirty]
+            if not reached or i in dirty:
+                continue
+            if isinstance(step, Reproject):
+                reached = [crs.envelope(reached[0], self._caps[parents[0]].crs, step.target)]
+            r = self.grids[i].base * (step.halo if isinstance(step, Transform) else 1)
+            dirty[i] = Bbox(min(b.min_x for b in reached), min(b.min_y for b in reached), max(b.max_x for b in reached), max(b.max_y for b in reached)).expand(r)
+        out = [Invalidation(str(at[i]), b) for i, b in sorted(dirty.items()) if i in at]
+        for x in out:
+            for told in self.told:
+                told(x)
+        return out
+
     def pull(self, node: int, window: Window, kind: str = "raster") -> DataFrame:
         """Cells of a window at the level for its resolution."""
         i = self.place[node]
@@ -172,7 +188,7 @@ class Engine:
             gx0, gx1, gy0, gy1 = grid.aligned(box, level)
             base = node.cells.where((node.cells.gx >= gx0 << level) & (node.cells.gx < gx1 + 1 << level) & (node.cells.gy >= gy0 << level) & (node.cells.gy < gy1 + 1 << level))
             if node.time_varying:
-                base = composite.composite(base, node.composite, time=window.time)
+                base = composite.composite(base, node.composite, node.percentile, window.time)
             return raster.coarsen(base, level) if level else base
         if isinstance(node, Reproject):
             p = parents[0]

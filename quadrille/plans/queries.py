@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Bbox, Grid, Interval, tile_index
-from ..operators import composite, focal, points, raster, resample, tensor, vector, zonal
+from ..operators import catalog, composite, focal, points, raster, resample, tensor, vector, zonal
 from ..sources import codecs, files
 from .bandmath import band_math
 
@@ -139,16 +139,63 @@ def clip_boundary(spark, d):
 
 
 def simplify(spark, d):
-    return vector.simplify(rectangles(spark, d), 2.0).select("id", "geometry")
+    return vector.measures(vector.simplify(rectangles(spark, d), 2.0))
 
 
 def dissolve(spark, d):
     cut = vector.tiled(rectangles(spark, d), Grid(0.0, 0.0, 1.0, 8), 0, Bbox(0.0, -70.0, 100.0, 0.0))
-    return vector.dissolve(cut).select("id", "geometry")
+    return vector.measures(vector.dissolve(cut))
 
 
 def png_tiles(spark, d):
-    return files.png_tiles(raster.gray(holed(spark, d), 900.0, 2000.0), 16)
+    """The pixels of PNG tiles, written and decoded again."""
+    import numpy as np
+    import pyarrow as pa
+
+    def back(batches):
+        for batch in batches:
+            for ix, iy, body in zip(batch.column("ix").to_pylist(), batch.column("iy").to_pylist(), batch.column("png"), strict=True):
+                gray, alpha = codecs.read_png_gray(bytes(body.as_buffer()))
+                gy, gx = np.nonzero(alpha)
+                yield pa.RecordBatch.from_arrays([pa.array(gx + 16 * ix), pa.array(gy + 16 * iy), pa.array(gray[gy, gx].astype(np.int64))], ["gx", "gy", "gray"])
+
+    return files.png_tiles(raster.gray(holed(spark, d), 900.0, 2000.0), 16).mapInArrow(back, "gx long, gy long, gray long")
+
+
+def scenes(spark, d):
+    """An item a month of the stack: its box is the half of the grid, left or right, or the whole, that the month chooses."""
+    month = F.substring("item_id", 6, 2).cast("int") % 3
+    items = stack(spark, d).groupBy("item_id").agg(F.first("datetime").alias("datetime"))
+    left, right = F.when(month == 1, 7.25).otherwise(7.0), F.when(month == 0, 7.25).otherwise(7.5)
+    return items.select("item_id", "datetime", left.alias("min_x"), F.lit(46.6).alias("min_y"), right.alias("max_x"), F.lit(47.0).alias("max_y"))
+
+
+def catalog_window(spark, d):
+    """The mean over the items that meet a window of the right half in 1997."""
+    items = catalog.by_block(scenes(spark, d)).withColumns({"epsg": F.lit(4326), "x0": F.lit(GEO.x0), "y0": F.lit(GEO.y0), "size": F.lit(GEO.base)})
+    return rounded(catalog.window(stack(spark, d), items, GEO, 4326, Bbox(7.26, 46.7, 7.45, 46.95), "mean", time=Interval(*INTERVAL)))
+
+
+def catalog_mixed_crs(spark, d):
+    """An item on the anchor's grid under a newer one on web mercator: the newest value of each pixel."""
+    base = holed(spark, d).select("gx", "gy", "b0")
+    old = base.select(F.lit("a").alias("item_id"), F.to_timestamp(F.lit("2020-01-01")).alias("datetime"), "gx", "gy", "b0")
+    new = base.select(F.lit("b").alias("item_id"), F.to_timestamp(F.lit("2024-01-01")).alias("datetime"), (F.col("gx") + 13880).alias("gx"), (F.col("gy") + 9420).alias("gy"), (F.col("b0") + 5000).alias("b0"))
+    rows = [("a", 4326, GEO.x0, GEO.y0, GEO.base, 6.9, 40.0, 7.6, 47.1), ("b", 3857, MERCATOR.x0, MERCATOR.y0, MERCATOR.base, 6.9, 40.0, 7.9, 47.1)]
+    items = spark.createDataFrame(rows, "item_id string, epsg int, x0 double, y0 double, size double, min_x double, min_y double, max_x double, max_y double")
+    extent = base.agg(F.max("gy")).first()[0] or 0
+    return rounded(catalog.window(old.union(new), items, GEO, 4326, Bbox(7.0, 47.0 - (extent + 1) * 0.01, 7.5, 47.0), "latest"), 4)
+
+
+def polygon_zones(spark):
+    """A triangle, a concave arrow over a part of it, and a square with a hole: ord, id, box, rings."""
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]
+    rows = [(o, i, min(p["x"] for p in r[0]), min(p["y"] for p in r[0]), max(p["x"] for p in r[0]), max(p["y"] for p in r[0]), r) for o, i, r in ((o, i, [ring(*x) for x in rings]) for o, i, rings in POLYGONS)]
+    return spark.createDataFrame(rows, "ord int, id long, min_x double, min_y double, max_x double, max_y double, rings array<array<struct<x: double, y: double>>>")
+
+
+#: ord, id, rings of (x, y).
+POLYGONS = [(0, 11, [[(1.0, -0.3), (21.0, -2.2), (8.0, -19.4)]]), (1, 12, [[(5.0, -3.3), (18.2, -6.1), (9.1, -8.4), (12.3, -17.7)]]), (2, 13, [[(25.0, -1.2), (45.0, -1.2), (45.0, -15.1), (25.0, -15.1)], [(30.3, -4.4), (40.2, -4.4), (35.0, -12.3)]])]
 
 
 def geotiff_roundtrip(spark, d):
@@ -224,6 +271,9 @@ QUERIES = {
     "catalog_anchor": catalog_anchor,
     "zonal_stats": lambda s, d: zonal.zonal_statistics(exact(s, d), zones(s), SHAPE),
     "zonal_overlap_order": zonal_overlap_order,
+    "zonal_polygons": lambda s, d: zonal.zonal_statistics(exact(s, d), polygon_zones(s), SHAPE),
+    "catalog_window": catalog_window,
+    "catalog_mixed_crs": catalog_mixed_crs,
     "zonal_empty_rows": lambda s, d: rounded(zonal.with_empty_zones(zonal.zonal_statistics(exact(s, d), zones(s), SHAPE), zones(s))),
     "window_stats": lambda s, d: rounded(zonal.window_statistics(raster.window(exact(s, d), SHAPE, _box(5, 20, 2, 12)))),
     "zonal_series": lambda s, d: rounded(zonal.zonal_series(event_stack(s, d), steps(s), zones(s), SHAPE, composite.reducer("max"))),
@@ -304,6 +354,10 @@ def _bilinear(wanted: str, names: list[str]) -> str:
 
 
 _PI = "3.141592653589793"
+_RECTS = """SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(24 AS DOUBLE) AS area, CAST(s_suppkey * 7 % 90 AS DOUBLE) AS min_x, CAST(-(s_suppkey * 11 % 60) - 4 AS DOUBLE) AS min_y,
+    CAST(s_suppkey * 7 % 90 + 6 AS DOUBLE) AS max_x, CAST(-(s_suppkey * 11 % 60) AS DOUBLE) AS max_y, CAST(5 AS BIGINT) AS positions FROM supplier"""
+_EDGES = "edges(ord, id, ax, ay, bx, by_) AS (VALUES " + ", ".join(
+    f"({o}, CAST({i} AS BIGINT), CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for o, i, rings in POLYGONS for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)) + ")"
 ORACLES = {
     "entry_zonal_index": f"WITH {_STACK}, {_ZONES}, med AS (SELECT gx, gy, median(b0) AS m0, median(b1) AS m1 FROM stack GROUP BY gx, gy), idx AS (SELECT gx, gy, (m0 - m1) / (m0 + m1) AS b0 FROM med), " + _zonal("idx", "round({}, 6)"),
     "window_filter": f"WITH {_DEM} SELECT * FROM dem WHERE gx BETWEEN 10 AND 30 AND gy BETWEEN 5 AND 20",
@@ -337,7 +391,7 @@ ORACLES = {
     "window_stats": f"WITH {_EXACT} SELECT {_STATS}, round(avg(b0), 6) AS mean FROM exact WHERE gx BETWEEN 5 AND 19 AND gy BETWEEN 2 AND 11",
     "zonal_series": f"WITH {_EVENTS}, {_STEPS}, {_ZONES}, px AS (SELECT step, gx, gy, max(b0) AS b0 FROM es JOIN steps ON epoch_us(ts) // 1000 >= start_ms AND epoch_us(ts) // 1000 < end_ms GROUP BY 1, 2, 3), place AS (SELECT gx, gy, arg_max(id, ord) AS zone_id FROM (SELECT DISTINCT gx, gy FROM px) JOIN zones ON {_IN} GROUP BY gx, gy) SELECT step, zone_id, {_STATS}, round(avg(b0), 6) AS mean FROM px JOIN place USING (gx, gy) GROUP BY step, zone_id",
     "window_series": f"WITH {_EVENTS}, {_STEPS}, px AS (SELECT step, gx, gy, avg(b0) AS b0 FROM es JOIN steps ON epoch_us(ts) // 1000 >= start_ms AND epoch_us(ts) // 1000 < end_ms GROUP BY 1, 2, 3) SELECT step, count(b0) AS count, round(sum(b0), 4) AS sum, round(min(b0), 4) AS minimum, round(max(b0), 4) AS maximum, round(avg(b0), 4) AS mean FROM px GROUP BY step",
-    "mosaic_first_wins": f"WITH {_HOLED}, {_GRID2} SELECT gx, gy, coalesce(h.b0, g.b0) AS b0 FROM holed h FULL JOIN (SELECT * FROM grid2 WHERE gx < 60 AND gy < 30) g USING (gx, gy)",
+    "mosaic_first_wins": f"WITH {_HOLED}, {_GRID2} SELECT gx, gy, coalesce(h.b0, g.b0) AS b0 FROM holed h FULL JOIN grid2 g USING (gx, gy)",
     "combine_sub": f"WITH {_DEM}, {_GRID2} SELECT gx, gy, round(dem.b0 - grid2.b0, 4) AS b0 FROM dem JOIN grid2 USING (gx, gy)",
     "focal_mean": _focal("round(avg(?), 6)", 2),
     "focal_min": _focal("min(?)", 1),
@@ -353,12 +407,23 @@ ORACLES = {
         f"SELECT gx, gy, ((-20037508.342789244 + (gx + 0.5) * 1500.0) * (180 / {_PI} / 6378137.0) - 7.0) / 0.01 - 0.5 AS u, (47.0 - (atan(exp((20037508.342789244 - (gy + 0.5) * 1500.0) * (1 / 6378137.0))) * 2 - {_PI} / 2) * (180 / {_PI})) / 0.01 - 0.5 AS v"
         " FROM range(CAST(floor((785000.0 + 20037508.342789244) / 1500) AS BIGINT), CAST(ceil((830000.0 + 20037508.342789244) / 1500) AS BIGINT)) a(gx), range(CAST(floor((20037508.342789244 - 5940000.0) / 1500) AS BIGINT), CAST(ceil((20037508.342789244 - 5920000.0) / 1500) AS BIGINT)) b(gy)", ["b0"]),
     "voxel_thin": f"WITH {_CLOUD}, r AS (SELECT *, row_number() OVER (PARTITION BY floor(x / 8), floor(y / 8), floor(z / 8) ORDER BY point_id) AS i FROM cloud) SELECT x, y, z, point_id FROM r WHERE i = 1",
-    "idw_grid": f"WITH {_CLOUD}, c AS (SELECT x, y, z, point_id, CAST(floor(x / 2) AS BIGINT) AS px, CAST(floor((40 - y) / 2) AS BIGINT) AS py FROM cloud WHERE y < 40), m AS (SELECT px + dx AS gx, py + dy AS gy, z, point_id, sqrt((x - (px + dx + 0.5) * 2) ** 2 + (y - (40 - (py + dy + 0.5) * 2)) ** 2) AS d FROM c, range(-2, 3) a(dx), range(-2, 3) b(dy)) SELECT gx, gy, round(coalesce(arg_min(z, point_id) FILTER (WHERE d = 0), sum(z / (d * d)) FILTER (WHERE d > 0) / sum(1 / (d * d)) FILTER (WHERE d > 0)), 6) AS b0 FROM m WHERE d <= 3 GROUP BY gx, gy HAVING count(*) >= 2",
+    "idw_grid": f"WITH {_CLOUD}, c AS (SELECT x, y, z, point_id, CAST(floor(x / 2) AS BIGINT) AS px, CAST(floor((40 - y) / 2) AS BIGINT) AS py FROM cloud), m AS (SELECT px + dx AS gx, py + dy AS gy, z, point_id, sqrt((x - (px + dx + 0.5) * 2) ** 2 + (y - (40 - (py + dy + 0.5) * 2)) ** 2) AS d FROM c, range(-2, 3) a(dx), range(-2, 3) b(dy)) SELECT gx, gy, round(coalesce(arg_min(z, point_id) FILTER (WHERE d = 0), sum(z / (d * d)) FILTER (WHERE d > 0) / sum(1 / (d * d)) FILTER (WHERE d > 0)), 6) AS b0 FROM m WHERE d <= 3 GROUP BY gx, gy HAVING count(*) >= 2",
     "rasterize_rects": "WITH s AS (SELECT s_suppkey AS id, s_suppkey * 7 % 90 AS x, s_suppkey * 11 % 60 AS y FROM supplier WHERE s_suppkey % 5 <> 0) SELECT x + dx AS gx, y + dy AS gy, CAST(arg_max(id % 13, id) AS DOUBLE) AS b0 FROM s, range(0, 6) a(dx), range(0, 4) b(dy) GROUP BY 1, 2",
     "point_tile_membership": f"WITH {_CLOUD} SELECT CAST(floor(x / 8) AS BIGINT) AS ix, CAST(floor((100 - y) / 8) AS BIGINT) AS iy, count(*) AS points FROM cloud GROUP BY 1, 2",
     "gray_encode": f"WITH {_HOLED} SELECT gx, gy, CAST(coalesce(round(least(greatest((b0 - 900) / 1100, 0.0), 1.0) * 255), 0) AS BIGINT) AS gray, CAST(CASE WHEN b0 IS NULL THEN 0 ELSE 255 END AS BIGINT) AS alpha FROM holed",
     "xyz_tiles": f"WITH {_DEM}, g AS (SELECT 7.0 + (gx + 0.5) * 0.01 AS lon, radians(47.0 - (gy + 0.5) * 0.01) AS lat FROM dem) SELECT CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x, CAST(floor((1 - ln(tan(lat) + 1 / cos(lat)) / {_PI}) / 2 * 4096) AS BIGINT) AS y, count(*) AS pixels FROM g GROUP BY 1, 2",
     "rfc3339": "WITH t AS (SELECT event_id, epoch_us(ts) // 1000 - 7200000 AS ms FROM events) SELECT event_id, ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ms % 1000 <> 0 THEN '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') ELSE '' END || 'Z' AS utc FROM t",
+    "simplify": _RECTS,
+    "dissolve": _RECTS,
+    "png_tiles": f"WITH {_HOLED} SELECT gx, gy, CAST(round(least(greatest((b0 - 900) / 1100, 0.0), 1.0) * 255) AS BIGINT) AS gray FROM holed WHERE b0 IS NOT NULL",
+    "zonal_polygons": f"WITH {_EXACT}, {_EDGES}, hit AS (SELECT gx, gy, b0, ord, id FROM exact JOIN edges ON (ay <= -(gy + 0.5)) <> (by_ <= -(gy + 0.5)) AND gx + 0.5 < ax + (-(gy + 0.5) - ay) * (bx - ax) / (by_ - ay)"
+    " GROUP BY gx, gy, b0, ord, id HAVING count(*) % 2 = 1), last AS (SELECT gx, gy, b0, arg_max(id, ord) AS zone_id FROM hit GROUP BY gx, gy, b0)"
+    f" SELECT zone_id, {_STATS}, avg(b0) AS mean FROM last GROUP BY zone_id",
+    "catalog_window": f"WITH {_STACK}, s AS (SELECT *, CAST(substr(item_id, 6, 2) AS INT) % 3 AS m FROM stack WHERE item_id BETWEEN '1997-01' AND '1997-12')"
+    " SELECT gx, gy, round(avg(b0), 6) AS b0, round(avg(b1), 6) AS b1 FROM s WHERE m <> 0 AND gx BETWEEN 26 AND 44 AND gy BETWEEN 5 AND 29 GROUP BY gx, gy",
+    "catalog_mixed_crs": f"WITH {_DEM}, base AS (SELECT gx, gy, CASE WHEN b1 % 7 <> 0 THEN b0 END AS b0 FROM dem), holed AS (SELECT gx + 13880 AS gx, gy + 9420 AS gy, b0 + 5000 AS b0 FROM base), new AS (WITH "
+    + _bilinear(f"SELECT gx, gy, ((7.0 + (gx + 0.5) * 0.01) * ({_PI} / 180 * 6378137.0) + 20037508.342789244) / 1500.0 - 0.5 AS u, (20037508.342789244 - ln(tan((47.0 - (gy + 0.5) * 0.01) * ({_PI} / 360) + {_PI} / 4)) * 6378137.0) / 1500.0 - 0.5 AS v FROM range(0, 50) a(gx), range(0, (SELECT max(gy) + 1 FROM base)) b(gy)", ["b0"])
+    + ") SELECT gx, gy, coalesce(n.b0, round(o.b0, 4)) AS b0 FROM base o FULL JOIN new n USING (gx, gy)",
     "geotiff_roundtrip": f"WITH {_DEM} SELECT gx, gy, b0, b1 FROM dem",
     "las_roundtrip": f"WITH {_CLOUD} SELECT point_id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM cloud",
 }

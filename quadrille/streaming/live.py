@@ -53,14 +53,17 @@ class TileTable:
         self._tiled(cells).repartition("ix", "iy").write.mode("overwrite").partitionBy("ix", "iy").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self.path).where("gx is not null")
 
     def refresh(self, box: Bbox, compute: Callable[[Bbox], DataFrame]) -> int:
-        """Computes the tiles that the dirty box overlaps again; the number of those tiles."""
+        """Computes the tiles that the dirty box overlaps again; the number of those tiles. Each gets a row without a pixel, so that a tile
+        which has none any more is overwritten too."""
         ix0, ix1, iy0, iy1 = self.grid.tiles(box, self.level)
         a, b = self.grid.tile_box(self.level, ix0, iy1), self.grid.tile_box(self.level, ix1, iy0)
         fresh = self._tiled(compute(Bbox(a.min_x, a.min_y, b.max_x, b.max_y)))
         fresh = fresh.where(F.col("ix").between(ix0, ix1) & F.col("iy").between(iy0, iy1))
+        marks = self.grid.cover(self.spark, box, self.level).select(F.col("ix").cast("int"), F.col("iy").cast("int"))
+        fresh = fresh.unionByName(marks, allowMissingColumns=True)
         fresh.repartition("ix", "iy").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ix", "iy").parquet(self.path)
         return (ix1 - ix0 + 1) * (iy1 - iy0 + 1)
 

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,13 +8,13 @@ from pyspark.sql import functions as F
 from quadrille import errors as E
 from quadrille.functions import crs
 from quadrille.functions import geometry as G
-from quadrille.functions.grid import Bbox, Grid, Window, xyz_box
+from quadrille.functions.grid import Bbox, Grid, Interval, Window, xyz_box
 from quadrille.functions.time import format_rfc3339, parse_interval, parse_rfc3339
-from quadrille.operators import composite, focal, points, raster, resample, vector
+from quadrille.operators import catalog, composite, focal, points, raster, resample, vector
 from quadrille.plans import layers
 from quadrille.plans.bandmath import band_math, compile_expression
 from quadrille.plans.caps import Format, at_least, one_of
-from quadrille.plans.graph import Fanin, Graph, Source, Transform
+from quadrille.plans.graph import Fanin, Graph, Reproject, Source, Transform
 from quadrille.sources import codecs, files
 from quadrille.streaming import live
 
@@ -33,10 +34,27 @@ def test_band_math(spark, text, want):
     assert got == want
 
 
-@pytest.mark.parametrize("text, needle", [("b0 +", "ends"), ("b0 b1", "trailing"), ("foo(b0)", "foo"), ("min(b0)", "2 arguments"), ("b0 # 1", "#"), ("(b0", "')'"), ("where(b0, b0)", "3"), ("x1", "x1"), ("", "ends"), ("b0 = 1", "=")])
-def test_band_math_errors(text, needle):
-    with pytest.raises(E.ComputeError, match=needle.replace("(", r"\(").replace(")", r"\)")):
-        compile_expression(text)
+def test_band_math_errors():
+    """From the grammar: every prefix of an expression that stops before an operand is open, every function refuses a wrong number of
+    arguments and an unknown name is named."""
+    whole = ["2", "*", "pow", "(", "b1", "-", "3", ",", "b2", "/", "4", ")"]
+    for k in range(len(whole)):
+        if k == 0 or whole[k - 1] not in ("2",):
+            with pytest.raises(E.ComputeError):
+                compile_expression(" ".join(whole[:k]))
+    compile_expression(" ".join(whole))
+    takes = {"sqrt": 1, "exp": 1, "max": 2, "pow": 2, "where": 3}
+    for name, n in takes.items():
+        for k in range(1, 5):
+            text = f"{name}({', '.join(['b7'] * k)})"
+            if k == n:
+                compile_expression(text)
+            else:
+                with pytest.raises(E.ComputeError, match=str(n)):
+                    compile_expression(text)
+    for text, name in (("cosine(b2)", "cosine"), ("1 + height", "height"), ("b3 ? 2", r"\?"), ("5 6", "trailing")):
+        with pytest.raises(E.ComputeError, match=name):
+            compile_expression(text)
 
 
 def test_grid():
@@ -223,6 +241,70 @@ def test_features(spark):
     assert burnt[1, 3] == 3.0
 
 
+def test_touching_fragments_do_not_spoil_a_union():
+    box = ("Polygon", [[[(42.0, -6.0), (48.0, -6.0), (48.0, -10.0), (42.0, -10.0), (42.0, -6.0)]]])
+    parts = [G.clip(box, b) for b in ((40, -8, 48, 0), (40, -16, 48, -8), (48, -8, 56, 0), (48, -16, 56, -8))]
+    assert G.area(G.dissolve([p for p in parts if p])) == 24.0
+
+
+def test_catalog(spark):
+    pages = {"u0": {"features": [{"id": "a"}], "links": [{"rel": "self", "href": "u0"}, {"rel": "next", "href": "u1"}]}, "u1": {"features": [{"id": "b"}, {"id": "c"}]}, "loop": {"features": [], "links": [{"rel": "next", "href": "loop"}]}}
+    fetch = lambda url: json.dumps(pages[url]).encode()
+    assert [json.loads(r[0])["id"] for r in catalog.search(spark, fetch, "u0").collect()] == ["a", "b", "c"]
+    with pytest.raises(E.PullTooLarge):
+        catalog.search(spark, fetch, "u0", most=2)
+    with pytest.raises(E.SourceError):
+        catalog.search(spark, fetch, "loop")
+    assert catalog.search_url("http://c/", "x", Bbox(1.0, 2.0, 3.0, 4.0)) == "http://c/search?collections=x&bbox=1.0,2.0,3.0,4.0&limit=100"
+    assert catalog.stac_datetime(spark, Interval(0, 86400500)) == "1970-01-01T00:00:00Z/1970-01-02T00:00:00.500Z"
+    assert catalog.blocks(Bbox(7.0, 45.0, 8.0, 46.0)) == (3, 3, 22, 22) and catalog.blocks(Bbox(7.9, 45.0, 8.1, 46.1)) == (3, 4, 22, 23)
+    with pytest.raises(E.PullTooLarge):
+        catalog.blocks(Bbox(0.0, 0.0, 60.0, 4.0))
+    rows = [("a", "2024-01-01", ["h1", "x"], [1, 1], 32632), ("b", "2024-02-01", ["h1", "y"], [1, 1], 32632), ("c", "2024-03-01", ["h2", "z"], [2, 1], 32632), ("d", "2024-03-01", ["h3", "z"], [None, 1], 32632), ("e", "2024-04-01", ["h4", "z"], [1, 1], 0)]
+    items = spark.createDataFrame(rows, "item_id string, datetime string, hrefs array<string>, counts array<int>, epsg int")
+    assert sorted(r.item_id for r in composite.usable(items, [1, 1]).collect()) == ["b", "d"]
+    boxes = spark.createDataFrame([("p", 6.0, 44.0, 9.0, 46.0, "2024-01-01"), ("q", 9.0, 44.0, 10.0, 46.0, "2024-01-01"), ("r", 6.0, 44.0, 9.0, 46.0, "2025-01-01")], "item_id string, min_x double, min_y double, max_x double, max_y double, datetime string")
+    for table in (boxes, catalog.by_block(boxes)):
+        got = catalog.intersecting(table, Bbox(8.0, 45.0, 9.0, 45.5), Interval(1704067200000, 1704067200001))
+        assert [r.item_id for r in got.collect()] == ["p"]
+    with pytest.raises(E.SourceError):
+        catalog.opened(items.limit(0))
+
+
+def test_tiles_listing_and_percentile(spark):
+    spec = layers.parse_layers('[[layer]]\nname = "p"\n[layer.source]\ntype = "stac"\ncollection = "c"\nassets = ["a"]\ncomposite = "percentile"\npercentile = 50.0\n[[layer.op]]\ntype = "bandmath"\nexpression = "b0"\nmin = 0.0\nmax = 255.0\n')[0]
+    stack = spark.createDataFrame([(f"i{k}", f"2024-01-0{k + 1}", x, y, float(10 * k + x)) for k in range(3) for x in range(40) for y in range(40)], "item_id string, datetime string, gx long, gy long, b0 double")
+    source = Source(stack, Grid(7.0, 47.0, 0.01, 16), [Format("raster", crs=one_of(4326))], time_varying=True, composite="percentile", percentile=50.0)
+    z, x, y = 9, 266, 180
+    one = sorted(tuple(r) for r in layers.render_tile(spec, source, z, x, y).select("gx", "gy", "gray", "alpha").collect())
+    many = layers.render_tiles(spec, source, z, [(x, y), (x + 1, y)])
+    assert sorted(tuple(r) for r in many.where(f"x = {x} and y = {y}").select("gx", "gy", "gray", "alpha").collect()) == one
+    assert many.count() == 2 * 65536 and any(r[3] == 255 for r in one)
+    row = layers.listing(spark, [spec], {"p": source}).first()
+    assert (row["name"], row.source, row.low, row.high) == ("p", "stac", 0.0, 255.0) and row.last_ms - row.first_ms == 2 * 86400000
+
+
+def test_invalidation_on_the_graph(spark):
+    base = cells(spark, [(gx, gy, 1.0) for gx in range(8) for gy in range(8)])
+    g = Graph()
+    a = g.add(Source(base, Grid(7.0, 47.0, 0.01, 16), [Format("raster", crs=one_of(4326))]))
+    b = g.add(Transform(lambda c, grid: c, halo=2), a)
+    c = g.add(Reproject(3857), b)
+    engine, told = g.build(), []
+    engine.subscribe(told.append)
+    out = engine.invalidate(a, Bbox(7.02, 46.95, 7.03, 46.96))
+    assert out == told and [x.node for x in out] == [str(a), str(b), str(c)]
+    assert out[1].bbox.min_x == pytest.approx(7.0) and out[1].bbox.max_y == pytest.approx(46.98)
+    assert out[2].bbox.min_x < 7.0 * 111319.4907 and out[2].bbox.max_x > 7.05 * 111319.4907
+
+
+def test_ids_of_several_collections(spark):
+    point = lambda x: '{"geometry":{"type":"Point","coordinates":[%d,0]},"properties":{}}' % x
+    texts = [("b", '{"features":[%s,%s]}' % (point(3), point(4))), ("a", '{"features":[%s,{"geometry":null},%s,%s]}' % (point(0), point(1), point(2)))]
+    f = vector.from_geojson(spark.createDataFrame(texts, "path string, value string"))
+    assert [(r.id, json.loads(r.geometry)[1][0][0][0][0]) for r in f.orderBy("id").collect()] == [(i, float(i)) for i in range(5)]
+
+
 def test_points(spark):
     rows = [(x + 0.5, y + 0.5, 42.0, x * 8 + y) for x in range(8) for y in range(8)]
     p = spark.createDataFrame(rows, "x double, y double, z double, point_id long")
@@ -247,7 +329,11 @@ def test_live(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     spark.catalog.refreshByPath(str(tmp_path / "tiles"))
-    got = {r.b0: r["count"] for r in spark.read.parquet(str(tmp_path / "tiles")).groupBy("b0").count().collect()}
+    got = {r.b0: r["count"] for r in table.read().groupBy("b0").count().collect()}
     assert got == {1.0: 240, 2.0: 16} and told == [Bbox(4.5, -7, 6, -5)]
+    # A tile that has no pixel any more is emptied.
+    assert table.refresh(Bbox(8.5, -3, 9, -1), lambda box: raster.window(base, grid, box).limit(0)) == 1
+    spark.catalog.refreshByPath(str(tmp_path / "tiles"))
+    assert table.read().count() == 240 and table.read().where("gx between 8 and 11 and gy between 0 and 3").isEmpty()
     out = live.spread_downstream({"src": [("shade", 1.0), ("mix", 0.0)], "shade": [("mix", 0.0)]}, "src", Bbox(0, 0, 1, 1))
     assert [x.node for x in out][0] == "src" and out[-1].bbox == Bbox(-1, -1, 2, 2)
