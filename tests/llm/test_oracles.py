@@ -39,7 +39,7 @@ def test_sizes_and_targets_of_the_mix(spark, duck):
         w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
         o AS (SELECT *, 2.0 * size AS cap, sum(1.5 * size) OVER () AS budget FROM w),
         l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
-        v AS (SELECT min(level) FILTER (WHERE level <= cap / w) AS level FROM l)
+        v AS (SELECT arg_min(level, cap / w) FILTER (WHERE level <= cap / w) AS level FROM l)
         SELECT doc_id, d.size, l.size, least(cap, coalesce(w * v.level, cap)) FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source, v"""
     want = {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
     got = {r.doc_id: (r["size"], r.source_size, r.target) for r in queries.op8_source_mix(spark, DATA).collect()}
