@@ -74,31 +74,37 @@ def log_odds(docs: DataFrame, train: DataFrame) -> np.ndarray:
     return table
 
 
-def scan(score: np.ndarray, group: np.ndarray):
-    """Every maximal-scoring segment: (first, last, sum) of the runs in which the sum since its last minimum is positive, up to the peak
-    of that sum; what follows a peak is scanned again. Linear in the number of tokens for each such pass."""
-    index = np.arange(len(score))
-    found = []
-    while len(score):
-        new = np.r_[True, group[1:] != group[:-1]]
-        shift = np.cumsum(new) * (np.abs(score).sum() + 1.0)
-        upto = np.cumsum(score)
-        height = upto - shift - np.minimum.accumulate(upto - score - shift)
-        up = height > 1e-6
-        if not up.any():
-            break
-        head = up & (new | ~np.r_[False, up[:-1]])
-        run = np.cumsum(head) - 1
-        where = np.flatnonzero(up)
-        peak = np.maximum.reduceat(height[where], np.flatnonzero(head[where]))
-        at = where[height[where] >= peak[run[where]] - 1e-9]
-        _, one = np.unique(run[at], return_index=True)
-        last, first = at[one], np.flatnonzero(head)
-        found.append(np.stack([index[first], index[last], peak], 1))
-        tail = up & (np.arange(len(score)) > last[np.maximum(run, 0)])
-        # The tail of a run begins anew, apart from other runs.
-        index, score, group = index[tail], score[tail], run[tail]
-    return np.concatenate(found) if found else np.zeros((0, 3))
+def scan(score: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Every maximal-scoring segment of each group (Ruzzo and Tompa): rows (first, last, sum), by first; of equal peaks the earlier.
+
+    Runs of positive tokens enter a stack from the left. A segment knows the nearest one before it that starts lower, so a new run skips
+    what can't be its beginning; what has been skipped is never looked at again, and each join takes segments off. Linear in the tokens.
+    """
+    positive = score > 0
+    new = np.r_[True, group[1:] != group[:-1]] if len(score) else np.zeros(0, bool)
+    begins = positive & (new | ~np.r_[False, positive[:-1]])
+    ends = positive & (np.r_[new[1:], True] | ~np.r_[positive[1:], False])
+    upto = np.r_[0.0, np.cumsum(score)]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    before, after, home = upto[first].tolist(), upto[last + 1].tolist(), group[first].tolist()
+    start, stop, low, high, lower = [], [], [], [], []
+    base, now = 0, None
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        if home[i] != now:
+            base, now = len(start), home[i]
+        x, y = before[i], after[i]
+        j = len(start) - 1
+        while True:
+            while j >= base and low[j] >= x:
+                j = lower[j]
+            if j < base or high[j] >= y:
+                break
+            # The segment reaches a new peak through this run: they are one, and what lies between goes.
+            a, x, j_before = start[j], low[j], lower[j]
+            del start[j:], stop[j:], low[j:], high[j:], lower[j:]
+            j = j_before
+        start.append(a), stop.append(b), low.append(x), high.append(y), lower.append(j)
+    return np.stack([np.array(start, float), np.array(stop, float), np.array(high) - np.array(low)], 1) if start else np.zeros((0, 3))
 
 
 def passages(docs: DataFrame, table: np.ndarray, drift: float = DRIFT, keep: list[str] | None = None) -> DataFrame:

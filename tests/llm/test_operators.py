@@ -439,6 +439,28 @@ def test_scan_finds_segments():
     found = toxicity.scan(score, np.array([0] * 10 + [1] * 2))
     best = {tuple(map(int, x[:2])): x[2] for x in found}
     assert best[1, 3] == 4 and best[5, 5] == 4 and best[10, 11] == 7 and best[8, 8] == 1
+    assert len(toxicity.scan(np.zeros(0), np.zeros(0, int))) == 0
+
+
+def test_scan_against_its_definition():
+    """The best segment (of equals the first that ends, and then the shortest), and then those to its left and to its right."""
+
+    def by_definition(s, at):
+        sums = [(s[i : j + 1].sum(), -j, i) for i in range(len(s)) for j in range(i, len(s))]
+        if not sums or max(sums)[0] <= 0:
+            return []
+        total, j, i = max(sums)
+        return [*by_definition(s[:i], at), (at + i, at - j, total), *by_definition(s[1 - j :], at - j + 1)]
+
+    random = np.random.default_rng(5)
+    for k in range(150):
+        long = random.integers(0, 30, 3)
+        score = (random.integers(-4, 5, long.sum()) if k % 2 else np.round(random.normal(-0.2, 1, long.sum()) * 16) / 16).astype(float)
+        cut = np.cumsum(long)
+        want = [x for a, b in zip(cut - long, cut, strict=True) for x in by_definition(score[a:b], a)]
+        assert [tuple(x) for x in toxicity.scan(score, np.repeat(np.arange(3), long))] == want
+    falls = lambda n: np.stack([np.arange(n, 0.0, -1), 0.5 - np.arange(n, 0.0, -1)], 1).ravel()
+    assert len(toxicity.scan(falls(50_000), np.zeros(100_000, int))) > 0  # nested swings, where rescans would take the square
 
 
 def test_toxicity(spark, docs, empty):
