@@ -173,8 +173,9 @@ def tiled(features: DataFrame, grid: Grid, level: int, box: Bbox) -> DataFrame:
 
 
 def clip_to(features: DataFrame, boundary: list) -> DataFrame:
-    """Features within a convex boundary ring."""
-    return map_geometry(features, lambda g, _: G.clip_convex(g, boundary))
+    """Features within a boundary: one ring, or the polygons (lists of rings) of a multipolygon of any shape."""
+    polygons = [[boundary]] if isinstance(boundary[0][0], (int, float)) else boundary
+    return map_geometry(features, lambda g, _: G.clip_to(g, polygons))
 
 
 def simplify(features: DataFrame, resolution: float) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from ..errors import EmptyLink, InvalidGraph, KindError
 from ..functions import crs
 from ..functions.grid import Bbox, Grid, Window
-from ..operators import composite, raster, resample
+from ..operators import composite, points, raster, resample, vector
 from ..streaming.live import Invalidation
 from .caps import Choice, Format, Settled, link, one_of, through
 
 
 @dataclass
 class Source:
-    """cells: base cells with gx, gy, b0..; with a stack (datetime) it varies in time and is composed per pull."""
+    """cells: base cells with gx, gy, b0..; with a stack (datetime) it varies in time and is composed per pull. A source of vectors holds
+    features, one of points a cloud; its grid then only names the resolution of its levels."""
 
     cells: DataFrame
     grid: Grid
@@ -173,17 +174,47 @@ class Engine:
         return out
 
     def pull(self, node: int, window: Window, kind: str = "raster") -> DataFrame:
-        """Cells of a window at the level for its resolution."""
+        """Cells of a window at the level for its resolution; of vectors the parts of features in the window, of points those in it, both
+        thinned above level 0."""
         i = self.place[node]
         if self._caps[i].kind != kind:
             raise KindError(f"node {node} gives {self._caps[i].kind}, not {kind}")
         level = self.grids[i].level_for(window.resolution)
         self.grids[i].tiles(window.bbox, level)
-        return raster.window(self._cells(i, window.bbox, level, window), self.grids[i], window.bbox, level)
+        return self._crop(i, self._cells(i, window.bbox, level, window), window.bbox, level)
+
+    def _crop(self, i: int, df: DataFrame, box: Bbox, level: int) -> DataFrame:
+        kind = self._caps[i].kind
+        if kind == "vector":
+            return vector.crop(df, box)
+        return points.in_window(df, box) if kind == "points" else raster.window(df, self.grids[i], box, level)
+
+    def _features(self, i: int, box: Bbox, level: int) -> DataFrame:
+        """What a source of vectors or points holds in a window."""
+        node, grid = self.plan[i][0], self.grids[i]
+        if self._caps[i].kind == "points":
+            return points.read_points(node.cells, grid, box, level)
+        return vector.crop(vector.simplify(node.cells, grid.resolution(level)) if level else node.cells, box)
+
+    def _moved(self, i: int, p: int, box: Bbox, level: int, window: Window) -> DataFrame:
+        """Vectors or points of a node in another CRS; a window is taken a little wide, since its edges bend, and cut to size afterwards."""
+        source, target = self._caps[p].crs, self._caps[i].crs
+        near = crs.envelope(box, target, source)
+        up = self.grids[p].level_for(self.grids[p].base * 2**level)
+        df = self._cells(p, near.expand(max(near.max_x - near.min_x, near.max_y - near.min_y) / 64), up, window)
+        if self._caps[i].kind == "vector":
+            return vector.reproject(df, source, target, box)
+        x, y = crs.transform(source, target, columns=True)(df.x, df.y)
+        return points.in_window(df.withColumns({"x": x, "y": y}), box)
 
     def _cells(self, i: int, box: Bbox, level: int, window: Window) -> DataFrame:
         node, parents = self.plan[i]
         grid = self.grids[i]
+        kind = self._caps[i].kind
+        if isinstance(node, Source) and kind in ("vector", "points"):
+            return self._features(i, box, level)
+        if isinstance(node, Reproject) and kind in ("vector", "points"):
+            return self._moved(i, parents[0], box, level, window)
         if isinstance(node, Source):
             gx0, gx1, gy0, gy1 = grid.aligned(box, level)
             base = node.cells.where((node.cells.gx >= gx0 << level) & (node.cells.gx < gx1 + 1 << level) & (node.cells.gy >= gy0 << level) & (node.cells.gy < gy1 + 1 << level))
@@ -203,6 +234,9 @@ class Engine:
                 own = self.grids[p]
                 up = own.level_for(grid.resolution(level))
                 cells = self._cells(p, box.expand(2 * own.resolution(up)), up, window)
+                if kind in ("vector", "points"):
+                    parts.append(self._crop(p, cells, box, up))
+                    continue
                 same = abs(own.resolution(up) - grid.resolution(level)) < 1e-12 * grid.base and (own.x0, own.y0) == (grid.x0, grid.y0)
                 parts.append(cells if same else resample.resample(cells, own.coarser(up), grid.coarser(level), box))
             return node.apply(parts, grid.coarser(level))

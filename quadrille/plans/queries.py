@@ -138,6 +138,28 @@ def clip_boundary(spark, d):
     return vector.clip_to(rectangles(spark, d), [(10.0, -50.0), (80.0, -40.0), (60.0, -5.0), (20.0, -10.0), (10.0, -50.0)]).select("id", "geometry")
 
 
+#: A multipolygon: a U with a hole in its right arm, and a square apart.
+COURT = [
+    [[(10.0, -50.0), (80.0, -50.0), (80.0, -5.0), (60.0, -5.0), (60.0, -35.0), (30.0, -35.0), (30.0, -10.0), (10.0, -10.0), (10.0, -50.0)],
+     [(64.0, -30.0), (64.0, -20.0), (72.0, -20.0), (72.0, -30.0), (64.0, -30.0)]],
+    [[(2.0, -8.0), (8.0, -8.0), (8.0, -2.0), (2.0, -2.0), (2.0, -8.0)]],
+]
+
+
+def clip_multipolygon(spark, d):
+    return vector.measures(vector.clip_to(rectangles(spark, d), COURT)).select("id", "area")
+
+
+def union_overlapping(spark, d):
+    """Each rectangle united with one moved by up to 7 and 5 units: equal, overlapping, touching or apart."""
+    one = rectangles(spark, d).select("id", "geometry", "properties")
+    k = F.col("s_suppkey")
+    x, y = (k * 7 % 90 + k % 8).cast("double"), (-(k * 11 % 60) - k % 6).cast("double")
+    ring = F.array(*[F.array(x + dx, y - dy) for dx, dy in ((0, 0), (6, 0), (6, 4), (0, 4), (0, 0))])
+    moved = table(spark, d, "supplier").select(k.cast("long").alias("id"), F.concat(F.lit('["Polygon",[['), F.to_json(ring), F.lit("]]]")).alias("geometry"), F.lit(None).cast("map<string, string>").alias("properties"))
+    return vector.measures(vector.dissolve(one.unionByName(moved))).select("id", "area", "min_x", "min_y", "max_x", "max_y")
+
+
 def simplify(spark, d):
     return vector.measures(vector.simplify(rectangles(spark, d), 2.0))
 
@@ -299,6 +321,8 @@ QUERIES = {
     "xyz_tiles": xyz_tiles,
     "rfc3339": rfc3339,
     "clip_boundary": clip_boundary,
+    "clip_multipolygon": clip_multipolygon,
+    "union_overlapping": union_overlapping,
     "simplify": simplify,
     "dissolve": dissolve,
     "png_tiles": png_tiles,
@@ -415,6 +439,10 @@ ORACLES = {
     "rfc3339": "WITH t AS (SELECT event_id, epoch_us(ts) // 1000 - 7200000 AS ms FROM events) SELECT event_id, ms, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ms % 1000 <> 0 THEN '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') ELSE '' END || 'Z' AS utc FROM t",
     "simplify": _RECTS,
     "dissolve": _RECTS,
+    "clip_multipolygon": f"WITH r AS ({_RECTS}), block(x0, y0, x1, y1, sign) AS (VALUES (10, -50, 30, -10, 1), (30, -50, 60, -35, 1), (60, -50, 80, -5, 1), (64, -30, 72, -20, -1), (2, -8, 8, -2, 1)),"
+    " met AS (SELECT id, sign * greatest(0, least(max_x, x1) - greatest(min_x, x0)) * greatest(0, least(max_y, y1) - greatest(min_y, y0)) AS part FROM r, block)"
+    " SELECT id, CAST(sum(part) AS DOUBLE) AS area FROM met GROUP BY id HAVING sum(part) > 0",
+    "union_overlapping": f"WITH r AS ({_RECTS}) SELECT id, CAST(48 - greatest(0, 6 - id % 8) * greatest(0, 4 - id % 6) AS DOUBLE) AS area, min_x, CAST(min_y - id % 6 AS DOUBLE) AS min_y, CAST(max_x + id % 8 AS DOUBLE) AS max_x, max_y FROM r",
     "png_tiles": f"WITH {_HOLED} SELECT gx, gy, CAST(round(least(greatest((b0 - 900) / 1100, 0.0), 1.0) * 255) AS BIGINT) AS gray FROM holed WHERE b0 IS NOT NULL",
     "zonal_polygons": f"WITH {_EXACT}, {_EDGES}, hit AS (SELECT gx, gy, b0, ord, id FROM exact JOIN edges ON (ay <= -(gy + 0.5)) <> (by_ <= -(gy + 0.5)) AND gx + 0.5 < ax + (-(gy + 0.5) - ay) * (bx - ax) / (by_ - ay)"
     " GROUP BY gx, gy, b0, ord, id HAVING count(*) % 2 = 1), last AS (SELECT gx, gy, b0, arg_max(id, ord) AS zone_id FROM hit GROUP BY gx, gy, b0)"
