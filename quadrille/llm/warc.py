@@ -80,8 +80,14 @@ def page_records(page_id: int, url: str | None, payload: bytes, refers: str | No
     return out
 
 
+def member(record: bytes, most: int = 8 << 20) -> bytes:
+    """A record and its closing blank lines as one gzip member (of a record above `most` bytes, several)."""
+    whole = record + b"\r\n\r\n"
+    return b"".join(gzip.compress(whole[i : i + most], 6, mtime=0) for i in range(0, len(whole), most))
+
+
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Writes page_id, url, html as WARC files under path. Of equal payloads of at least REVISIT_FROM bytes the one with the largest
+    """Writes page_id, url, html as WARC files under path, a gzip member a record. Of equal payloads of at least REVISIT_FROM bytes the one with the largest
     page_id is the response, and the others revisit it. Rows with a null page_id are left out; null html is an empty payload."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     pages = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"))
@@ -96,11 +102,12 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
                 refers = record_id(response, payload) if response is not None and response != page else None
                 out += page_records(page, url, payload, refers, segment)
             for i in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 500], pa.binary())], ["record"])
+                # A member ends with its length, of which the last byte is 0 below 16 MiB: the writer adds it.
+                yield pa.RecordBatch.from_arrays([pa.array([member(x)[:-1] for x in out[i : i + 500]], pa.binary())], ["record"])
 
     records = judged.select("page_id", "url", "payload", "response").mapInArrow(run, "record binary")
-    # A record ends with two line ends, which the text writer adds; the cast keeps bytes as they are.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    # The cast keeps bytes as they are, and the text writer ends each row with a byte of 0, so a file is its members and no more.
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(content: bytes):

@@ -1,6 +1,7 @@
 """Small fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import gzip
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,7 +163,7 @@ def test_top_k_eliminates(spark):
     assert got == want and told["pairs"] == 360_000 and told["scored"] < 0.1 * told["pairs"], told
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     big, twin = "ß<p>\r\n\r\n" * 9000, "same page " * 200
     rows = [(1, "http://a/\r\nx", "small"), (2, None, big), (3, "http://b", twin), (4, "http://c", twin), (5, "u", None), (6, "u", ""), (7, "u", "small"), (8, "v", twin), (8, "v", twin), (None, "v", "x")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string")
@@ -171,6 +172,15 @@ def test_warc(spark):
     assert got == want and warc.round_trip(df).count() == 8 and warc.round_trip(df.limit(0)).count() == 0
     records = [next(iter(warc.parse(x + b"\r\n\r\n"))) for x in warc.page_records(2, None, big.encode(), None)]
     assert len(records) >= 5 and records[-1][0]["warc-segment-total-length"]
+    warc.write_archives(df, f"{tmp_path}/archives")
+    for file in tmp_path.glob("archives/part-*"):
+        rest = file.read_bytes()
+        while rest:
+            one = zlib.decompressobj(31)
+            assert len(list(warc.parse(one.decompress(rest)))) == 1 and one.eof
+            rest = one.unused_data
+    long = bytes(range(256)) * 300
+    assert gzip.decompress(warc.member(long, 10_000)) == long + b"\r\n\r\n" and warc.member(long)[-1] == 0
     assert warc.unchunked(b"4;x=1\r\nWiki\r\n0\r\nT: 1\r\n\r\n") == b"Wiki"
     with pytest.raises(ValueError):
         warc.unchunked(b"9\r\nWiki\r\n")
