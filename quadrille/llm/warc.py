@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -110,6 +111,11 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def unzipped(body: bytes) -> bytes:
+    """All members of a gzip file. Read as a stream, since gzip.decompress copies what is left of the file for each member."""
+    return gzip.GzipFile(fileobj=io.BytesIO(body)).read()
+
+
 def parse(content: bytes):
     """The records of an archive: header fields (names in lower case) and block."""
     at = 0
@@ -138,7 +144,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 rows, held = [], 0
                 body = content.as_py()
-                for f, block in parse(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body):
+                for f, block in parse(unzipped(body) if body[:2] == b"\x1f\x8b" else body):
                     number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
                     rows.append((f.get("warc-record-id"), f.get("warc-type"), int(f["warc-page-id"]) if "warc-page-id" in f else None, f.get("warc-segment-origin-id"), number and int(number), total and int(total), f.get("warc-refers-to"), block))
                     held += len(block)

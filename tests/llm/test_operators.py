@@ -1,7 +1,7 @@
 """Small fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
-import hashlib
 import gzip
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
