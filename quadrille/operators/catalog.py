@@ -89,12 +89,12 @@ def aligned(stack: DataFrame, items: DataFrame, grid: Grid, epsg: int, box: Bbox
     """
     gx0, gx1, gy0, gy1 = grid.aligned(box, 0)
     here = (F.col("epsg") == epsg) & (F.col("x0") == grid.x0) & (F.col("y0") == grid.y0) & (F.col("size") == grid.base)
-    own = stack.join(items.where(here).select("item_id"), "item_id", "left_semi")
+    own = stack.join(F.broadcast(items.where(here).select("item_id")), "item_id", "left_semi")
     out = own.where(F.col("gx").between(gx0, gx1) & F.col("gy").between(gy0, gy1))
     keys = ("item_id", "datetime")
     for (code,) in items.where(~here).select("epsg").distinct().orderBy("epsg").collect():
         some = items.where(~here & (F.col("epsg") == code))
-        cells = stack.join(some.select("item_id"), "item_id", "left_semi")
+        cells = stack.join(F.broadcast(some.select("item_id")), "item_id", "left_semi")
         # An item asks for the window's pixels around its own box.
         onto = crs.transform(4326, epsg, columns=True)
         (ax, ay), (bx, by) = onto(F.col("min_x"), F.col("min_y")), onto(F.col("max_x"), F.col("max_y"))
@@ -102,11 +102,15 @@ def aligned(stack: DataFrame, items: DataFrame, grid: Grid, epsg: int, box: Bbox
         top, bottom = (F.floor((grid.y0 - F.greatest(ay, by)) / grid.base) - 2, F.ceil((grid.y0 - F.least(ay, by)) / grid.base) + 2)
         whole = lambda a, b: F.when(a <= b, F.sequence(a, b))
         range_x = whole(F.greatest(left, F.lit(gx0)).cast("long"), F.least(right, F.lit(gx1)).cast("long"))
-        range_y = whole(F.greatest(top, F.lit(gy0)).cast("long"), F.least(bottom, F.lit(gy1)).cast("long"))
+        low_y, high_y = F.greatest(top, F.lit(gy0)).cast("long").alias("low_y"), F.least(bottom, F.lit(gy1)).cast("long").alias("high_y")
         times = cells.select(*keys).distinct()
-        wanted = some.join(times, "item_id").select(*keys, "x0", "y0", "size", F.explode(range_x).alias("gx"), range_y.alias("ys")).withColumn("gy", F.explode("ys"))
+        # Columns of pixels are dealt out, so that an item's pixels don't come from one task.
+        columns = some.join(times, "item_id").select(*keys, "x0", "y0", "size", F.explode(range_x).alias("gx"), low_y, high_y)
+        columns = columns.repartition(int(stack.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id", "gx")
+        wanted = columns.select(*keys, "x0", "y0", "size", "gx", F.explode(whole(F.col("low_y"), F.col("high_y"))).alias("gy"))
         x, y = crs.transform(epsg, code, columns=True)(*grid.centre(F.col("gx"), F.col("gy")))
-        warped = resample.four_taps(cells, wanted, (x - F.col("x0")) / F.col("size") - 0.5, (F.col("y0") - y) / F.col("size") - 0.5, keys)
+        # Cells and pixels both grow with the window: neither is broadcast, whatever the planner takes their size for.
+        warped = resample.four_taps(cells.hint("merge"), wanted, (x - F.col("x0")) / F.col("size") - 0.5, (F.col("y0") - y) / F.col("size") - 0.5, keys)
         out = out.unionByName(warped)
     return out
 

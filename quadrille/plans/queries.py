@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import crs
 from ..functions.grid import Bbox, Grid, Interval, tile_index
 from ..operators import catalog, composite, focal, points, raster, resample, tensor, vector, zonal
 from ..sources import codecs, files
@@ -203,10 +204,17 @@ def catalog_mixed_crs(spark, d):
     base = holed(spark, d).select("gx", "gy", "b0")
     old = base.select(F.lit("a").alias("item_id"), F.to_timestamp(F.lit("2020-01-01")).alias("datetime"), "gx", "gy", "b0")
     new = base.select(F.lit("b").alias("item_id"), F.to_timestamp(F.lit("2024-01-01")).alias("datetime"), (F.col("gx") + 13880).alias("gx"), (F.col("gy") + 9420).alias("gy"), (F.col("b0") + 5000).alias("b0"))
-    rows = [("a", 4326, GEO.x0, GEO.y0, GEO.base, 6.9, 40.0, 7.6, 47.1), ("b", 3857, MERCATOR.x0, MERCATOR.y0, MERCATOR.base, 6.9, 40.0, 7.9, 47.1)]
-    items = spark.createDataFrame(rows, "item_id string, epsg int, x0 double, y0 double, size double, min_x double, min_y double, max_x double, max_y double")
     extent = base.agg(F.max("gy")).first()[0] or 0
-    return rounded(catalog.window(old.union(new), items, GEO, 4326, Bbox(7.0, 47.0 - (extent + 1) * 0.01, 7.5, 47.0), "latest"), 4)
+    box = Bbox(GEO.x0, GEO.y0 - (extent + 1) * GEO.base, GEO.x0 + 50 * GEO.base, GEO.y0)
+    # The newer item's box holds all its pixels, and the whole window's height: many rows go on past the pole, as in the SQL.
+    x, y, r = MERCATOR.x0 + 13880 * MERCATOR.base, MERCATOR.y0 - 9420 * MERCATOR.base, MERCATOR.base
+    there = crs.envelope(Bbox(x, y - (extent + 1) * r, x + 50 * r, y), 3857, 4326)
+    rows = [
+        ("a", 4326, GEO.x0, GEO.y0, GEO.base, box.min_x, box.min_y, box.max_x, box.max_y),
+        ("b", 3857, MERCATOR.x0, MERCATOR.y0, MERCATOR.base, there.min_x, min(there.min_y, box.min_y), there.max_x, there.max_y),
+    ]
+    items = spark.createDataFrame(rows, "item_id string, epsg int, x0 double, y0 double, size double, min_x double, min_y double, max_x double, max_y double")
+    return rounded(catalog.window(old.union(new), items, GEO, 4326, box, "latest"), 4)
 
 
 def polygon_zones(spark):
